@@ -55,26 +55,28 @@ class Sketcher:
 
     def __init__(self, count: int):
         rng = np.random.default_rng(20240501)
-        self.a = (rng.integers(1, 1 << 62, size=count, dtype=np.uint64) << np.uint64(1)) | np.uint64(1)
-        self.b = rng.integers(0, 1 << 62, size=count, dtype=np.uint64)
+        self.a = (rng.integers(1, 1 << 31, size=(count, 1), dtype=np.uint32) << np.uint32(1)) | np.uint32(1)
+        self.b = rng.integers(0, 1 << 32, size=(count, 1), dtype=np.uint32)
 
     def minima(self, s: np.ndarray) -> np.ndarray:
-        return ((s[None, :] * self.a[:, None] + self.b[:, None]) >> np.uint64(24)).min(axis=1)
+        codes = (s >> np.uint64(32)).astype(np.uint32)[None, :]
+        return (codes * self.a + self.b).min(axis=1).astype(np.uint64)
 
 
 def band_keys(minima: np.ndarray, rows: int) -> np.ndarray:
-    """One 64-bit key per band, different for different bands."""
-    table = mixed(minima).reshape(-1, rows)
-    out = np.arange(1, len(table) + 1, dtype=np.uint64)
+    """For each row of minima one 64-bit key per band, different for different bands."""
+    table = mixed(minima).reshape(len(minima), -1, rows)
+    out = np.broadcast_to(np.arange(1, table.shape[1] + 1, dtype=np.uint64), table.shape[:2])
     for j in range(rows):
-        out = mixed(out * np.uint64(0x9E3779B97F4A7C15) + table[:, j])
+        out = mixed(out * np.uint64(0x9E3779B97F4A7C15) + table[:, :, j])
     return out
 
 
-def packed(minima: np.ndarray, bits: int) -> bytes:
-    """The low bits of the minima: bit plane after bit plane, 8 minima to a byte."""
+def packed(minima: np.ndarray, bits: int) -> np.ndarray:
+    """The low bits of each row of minima as 64-bit words: bit plane after bit plane, 64 minima to a word."""
     low = mixed(minima)
-    return b"".join(np.packbits(((low >> np.uint64(i)) & np.uint64(1)).astype(np.uint8)).tobytes() for i in range(bits))
+    planes = [np.packbits(((low >> np.uint64(i)) & np.uint64(1)).astype(np.uint8), axis=1) for i in range(bits)]
+    return np.ascontiguousarray(np.concatenate(planes, axis=1)).view(np.int64)
 
 
 def estimated(a: Column, b: Column, count: int, bits: int) -> Column:
@@ -114,18 +116,15 @@ def _classes(texts: DataFrame, shingle: int, minimum: int, rows: int, bands: int
         sketcher = Sketcher(rows * bands)
         for b in batches:
             ids, sets = b.column(0).to_pylist(), shingle_sets(b.column(1).to_pylist(), shingle, minimum)
-            done: dict[tuple, tuple] = {}
-            signatures: dict[bytes, list[int]] = {}
+            done: set[tuple] = set()
+            minima: dict[bytes, np.ndarray] = {}
             for i, s in zip(ids, sets, strict=True):
-                if s is None:
-                    continue
-                key = set_key(s)
-                if (i, key) in done:
-                    continue
-                if key not in signatures:
-                    signatures[key] = np.frombuffer(packed(sketcher.minima(s), bits), dtype=np.int64).tolist()
-                done[i, key] = (i, key, signatures[key])
-            columns = list(zip(*done.values(), strict=True)) or [(), (), ()]
+                if s is not None:
+                    done.add((i, key := set_key(s)))
+                    if key not in minima:
+                        minima[key] = sketcher.minima(s)
+            signatures = dict(zip(minima, packed(np.stack(list(minima.values())), bits).tolist(), strict=True)) if minima else {}
+            columns = list(zip(*((i, key, signatures[key]) for i, key in done), strict=True)) or [(), (), ()]
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
 
     return texts.mapInArrow(run, "chunk_id string, class binary, signature array<long>")
@@ -141,8 +140,8 @@ def _bands(texts: DataFrame, shingle: int, minimum: int, rows: int, bands: int)
             seen: dict[bytes, np.ndarray] = {}
             for s in shingle_sets(b.column(1).to_pylist(), shingle, minimum):
                 if s is not None and (key := set_key(s)) not in seen:
-                    seen[key] = band_keys(sketcher.minima(s), rows)
-            keys = np.concatenate(list(seen.values())) if seen else np.empty(0, dtype=np.uint64)
+                    seen[key] = sketcher.minima(s)
+            keys = band_keys(np.stack(list(seen.values())), rows).ravel() if seen else np.empty(0, dtype=np.uint64)
             members = np.repeat(np.frombuffer(b"".join(k[:8] for k in seen), dtype=np.int64), bands)
             yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(members)], schema=schema)
 
