@@ -22,13 +22,13 @@ MINIMUM_COSINE = 0.75
 #: Rows the tree is fitted on at most, per model; every row is indexed.
 FIT_ROWS = 24_576
 #: Rows of a leaf that are aimed at, and branches of a node.
-LEAF_ROWS = 2048
+LEAF_ROWS = 4096
 BRANCHES = 12
 #: Queries that are compared with all rows to calibrate the leaf visits, and the recall wanted.
 CALIBRATION_QUERIES = 384
 WANTED_RECALL = 0.975
 #: A leaf of more rows than this (expected from the sample) is worked on in blocks.
-BLOCK_ROWS = 8192
+BLOCK_ROWS = 16384
 DIGITS = 9
 
 
@@ -246,10 +246,17 @@ def _leaf_search(k: int, floor: float, symmetric: bool):
 
 def _best(s: np.ndarray, k: int, floor: float) -> tuple[np.ndarray, np.ndarray]:
     """Row and column of every entry among the k best of its row (ties at single precision included) and not below the floor."""
+    near = s >= floor - np.float32(2e-6)
+    per_row = near.sum(axis=1)
+    if s.shape[1] > k and 8 * int((per_row > k).sum()) < len(s):  # few rows have more than k entries to choose from
+        for i in np.nonzero(per_row > k)[0].tolist():
+            at = np.nonzero(near[i])[0]
+            near[i, at] = s[i, at] >= np.partition(s[i, at], -k)[-k] - np.float32(2e-6)
+        return np.nonzero(near)
     if s.shape[1] > k:
         bound = np.partition(s, -k, axis=1)[:, -k]
         return np.nonzero(s >= np.maximum(bound, floor)[:, None] - np.float32(2e-6))
-    return np.nonzero(s >= floor - np.float32(2e-6))
+    return np.nonzero(near)
 
 
 def _take(rows: DataFrame, fraction: float, most: int, seed: int) -> DataFrame:
