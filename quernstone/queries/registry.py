@@ -1,8 +1,8 @@
 """All queries of the core."""
 
-from quernstone.queries import search
+from quernstone.queries import catalogue, search
 
-MODULES = (search,)
+MODULES = (search, catalogue)
 
 
 def queries() -> dict:
