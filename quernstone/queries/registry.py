@@ -1,8 +1,8 @@
 """All queries of the core."""
 
-from quernstone.queries import catalogue, search
+from quernstone.queries import catalogue, evaluation, search
 
-MODULES = (search, catalogue)
+MODULES = (search, catalogue, evaluation)
 
 
 def queries() -> dict:
