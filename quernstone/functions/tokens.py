@@ -29,6 +29,19 @@ def equality_key(text: Column) -> Column:
     return F.array_join(all_tokens(text), " ")
 
 
+def word_runs(words: Column, size: int) -> Column:
+    """Every run of ``size`` consecutive words, joined by a space; none for a shorter array.
+
+    Zipped rather than indexed: a lambda that refers to the word array would evaluate it anew for each
+    element, which makes long texts quadratic.
+    """
+    runs = words
+    for j in range(1, size):
+        n = F.greatest(F.size(words) - j, F.lit(0))
+        runs = F.zip_with(F.slice(runs, F.lit(1), n), F.slice(words, F.lit(j + 1), n), lambda a, b: F.concat_ws(" ", a, b))
+    return runs
+
+
 STOP_SQL = "(" + ", ".join(f"'{w}'" for w in STOPWORDS) + ")"
 
 

@@ -7,6 +7,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from quernstone.functions.tokens import word_runs
+
 # Words that deny, for the protected signature.
 NEGATIONS = ("no", "not", "never", "none", "nor", "neither", "cannot", "without", "ni", "ne", "nicht", "kein", "keine", "weder", "nunca", "sin")
 BOOTSTRAP_DRAWS = 2000
@@ -109,12 +111,8 @@ def words_of(text: Column) -> Column:
 
 
 def shingles(words: Column, size: int = 2) -> Column:
-    """The distinct runs of ``size`` words of a word array, case kept; a shorter text is one run, a text without words none.
-
-    ``words`` should be a column of its own, as a lambda evaluates what it refers to for each element.
-    """
-    runs = F.transform(F.sequence(F.lit(1), F.size(words) - size + 1), lambda i: F.array_join(F.slice(words, i, size), " "))
-    return F.when(F.size(words) == 0, F.array().cast("array<string>")).when(F.size(words) < size, F.array(F.array_join(words, " "))).otherwise(F.array_distinct(runs))
+    """The distinct runs of ``size`` words of a word array, case kept; a shorter text is one run, a text without words none."""
+    return F.when(F.size(words) == 0, F.array().cast("array<string>")).when(F.size(words) < size, F.array(F.array_join(words, " "))).otherwise(F.array_distinct(word_runs(words, size)))
 
 
 def protected_signature(text: Column) -> Column:

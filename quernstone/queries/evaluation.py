@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quernstone.functions.tokens import STOPWORDS
+from quernstone.functions.tokens import STOPWORDS, word_runs
 from quernstone.operators import evaluation as e
 from quernstone.operators import lexical
 from quernstone.operators.components import connected_components
@@ -145,7 +145,7 @@ def q_target_resolution(spark: SparkSession, d: str) -> DataFrame:
     words = lambda x: F.regexp_extract_all(F.lower(x), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
     items = read_table(spark, d, "eval_items").select("item_id", words(F.col("item_text")).alias("w")).where(F.size("w") >= size).select("item_id", F.array_join(F.slice("w", 1, size), " ").alias("run")).distinct()
     runs = read_table(spark, d, "documents").where("text IS NOT NULL").select("doc_id", words(F.col("text")).alias("w")).where(F.size("w") >= size)
-    runs = runs.select("doc_id", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.size("w") - size + 1), lambda i: F.array_join(F.slice("w", i, size), " ")))).alias("run"))
+    runs = runs.select("doc_id", F.explode(F.array_distinct(word_runs(F.col("w"), size))).alias("run"))
     found = items.join(runs.join(F.broadcast(items.select("run").distinct()), "run", "left_semi"), "run", "left")
     n = F.count_distinct("doc_id")
     return found.groupBy("item_id").agg(F.when(n == 0, "none").when(n == 1, "unique").otherwise("several").alias("resolution"), n.alias("documents"))

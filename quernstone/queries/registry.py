@@ -1,8 +1,8 @@
 """All queries of the core."""
 
-from quernstone.queries import catalogue, evaluation, search
+from quernstone.queries import catalogue, evaluation, search, texts
 
-MODULES = (search, catalogue, evaluation)
+MODULES = (search, catalogue, evaluation, texts)
 
 
 def queries() -> dict:
