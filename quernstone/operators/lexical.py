@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from quernstone.functions.tokens import gate_tokens, index_tokens
+from quernstone.plans.stages import cut
 
 K1 = 1.5
 B = 0.75
@@ -23,27 +24,42 @@ class Index:
 
 
 def build_index(texts: DataFrame) -> Index:
-    """The index of rows ``(chunk_id, contents)``; null texts and texts without tokens are not in it."""
+    """The index of rows ``(chunk_id, contents)``; null texts and texts without tokens are not in it.
+
+    Postings are laid out by chunk and written once to the shared checkpoint folder, as all that
+    follows reads them; the other tables are small aggregates of them.
+    """
     tokens = texts.where("chunk_id IS NOT NULL").select("chunk_id", index_tokens(F.col("contents")).alias("tokens")).where(F.size("tokens") > 0)
     sized = tokens.withColumn("dl", F.size("tokens"))
-    postings = sized.select("chunk_id", "dl", F.explode("tokens").alias("term")).groupBy("chunk_id", "dl", "term").agg(F.count(F.lit(1)).alias("tf"))
-    totals = sized.agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"))
+    exploded = sized.repartition("chunk_id").select("chunk_id", "dl", F.explode("tokens").alias("term"))
+    postings = cut(exploded.groupBy("chunk_id", "dl", "term").agg(F.count(F.lit(1)).alias("tf")))
+    totals = postings.select("chunk_id", "dl").distinct().agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"))
     frequency = postings.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     terms = frequency.join(F.broadcast(totals), how="cross").select("term", "df", F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))
     return Index(postings, terms, totals)
 
 
-def bm25(index: Index, queries: DataFrame) -> DataFrame:
+#: Query terms of up to so many rows are sent to every task; more are joined by a shuffle.
+BROADCAST_ROWS = 1_000_000
+
+
+def bm25(index: Index, queries: DataFrame, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
     """``(query_id, chunk_id, score)`` for each chunk that shares an index term with a query ``(query_id, query)``.
 
-    A query's repeated terms count as often as they occur.  Query terms join the postings on the term;
-    Catalyst broadcasts the query side when it is small, and otherwise both are shuffled by term.
+    A query's repeated terms count as often as they occur.  Where the query terms are few enough to
+    broadcast, the postings are laid out by chunk once and each task sums the scores of its own chunks:
+    neither the matches nor the sums are shuffled, and a top-k that follows is cut in the same tasks.
+    Otherwise both sides are shuffled by term.
     """
     terms = queries.select("query_id", F.explode(index_tokens(F.col("query"))).alias("term")).groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("qf"))
-    weighted = terms.join(index.terms, "term")
+    weighted = terms.join(index.terms, "term").select("query_id", "term", (F.col("qf") * F.col("idf")).alias("weight"))
     norm = F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl"))
-    hits = weighted.join(index.postings, "term").join(F.broadcast(index.totals.select("avgdl")), how="cross")
-    return hits.groupBy("query_id", "chunk_id").agg(F.round(F.sum(F.col("qf") * F.col("idf") * F.col("tf") / norm), 9).alias("score"))
+    postings = index.postings.join(F.broadcast(index.totals.select("avgdl")), how="cross").select("term", "chunk_id", (F.col("tf") / norm).alias("gain"))
+    if terms.count() <= broadcast_rows:
+        hits = postings.repartition("chunk_id").join(F.broadcast(weighted), "term")
+    else:
+        hits = weighted.join(postings, "term")
+    return hits.groupBy("query_id", "chunk_id").agg(F.round(F.sum(F.col("weight") * F.col("gain")), 9).alias("score"))
 
 
 def ranked(scores: DataFrame, k: int | None = None, score: str = "score", tie: str = "chunk_id", group: str = "query_id", into: str = "rank") -> DataFrame:

@@ -10,20 +10,20 @@ DOCUMENT_COLUMNS = ["document_id", "source_id", "source_relative_path", "file_fo
 
 
 def chunks(spark: SparkSession, d: str, *columns: str) -> DataFrame:
-    """Chunks once each; repeated rows are exact copies, so the id alone tells them apart."""
-    return read_table(spark, d, "chunks").select("chunk_id", *[c for c in columns if c != "chunk_id"]).dropDuplicates(["chunk_id"])
+    """Chunks once each; repeated rows are exact copies, so a hash aggregate over the columns asked for removes them."""
+    return read_table(spark, d, "chunks").select("chunk_id", *[c for c in columns if c != "chunk_id"]).distinct()
 
 
 def documents(spark: SparkSession, d: str, *columns: str) -> DataFrame:
-    return read_table(spark, d, "source_documents").select("document_id", *[c for c in columns if c != "document_id"]).dropDuplicates(["document_id"])
+    return read_table(spark, d, "source_documents").select("document_id", *[c for c in columns if c != "document_id"]).distinct()
 
 
 def units(spark: SparkSession, d: str, *columns: str) -> DataFrame:
-    return read_table(spark, d, "units").select("unit_id", *[c for c in columns if c != "unit_id"]).dropDuplicates(["unit_id"])
+    return read_table(spark, d, "units").select("unit_id", *[c for c in columns if c != "unit_id"]).distinct()
 
 
 def searches(spark: SparkSession, d: str) -> DataFrame:
-    return read_table(spark, d, "search_log").dropDuplicates(["search_id"])
+    return read_table(spark, d, "search_log").distinct()
 
 
 def appearances(spark: SparkSession, d: str) -> DataFrame:
