@@ -84,7 +84,7 @@ def failed_rules(stats: str = "stats") -> Column:
         ("few_common_words", enough & (s["common_share"] < LEAST_COMMON)),
         ("short_without_sentence", ~enough & (s["words"] > 0) & (s["common_share"] < 0.1) & (s["line_end_share"] == 0) & (s["lines"] > 1)),
         ("references", (s["reference_share"] >= MOST_REFERENCES) & weak),
-        ("leaders", (s["leader_share"] >= MOST_LEADERS) & (s["common_share"] < 0.45)),
+        ("leaders", (s["leader_share"] >= MOST_LEADERS) & ((s["common_share"] < 0.45) | (s["leader_share"] >= 0.7))),
         ("symbols", (s["symbol_share"] > MOST_SYMBOLS) & weak),
         ("numbers", (s["number_share"] > MOST_NUMBERS) & weak),
         ("markup", (s["markup_share"] >= MOST_MARKUP) & weak),
