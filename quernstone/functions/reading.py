@@ -137,7 +137,7 @@ ORGANISATIONS = frozenset("university press institute department college school
 def author_names(text: str) -> list[str]:
     """Names of a byline, split at commas between names, semicolons, "and" and "&"; organisations and junk left out."""
     out: list[str] = []
-    for part in re.split(r"\s*;\s*|\s+(?:and|&|und|et|y)\s+|,\s+(?=\S+\s+\S)", text.strip()):
+    for part in re.split(r"\s*;\s*|\s+(?:and|&|und|et|y)\s+|,\s+(?=[^\s.;]{2,}\s+\S)", text.strip()):
         name = re.sub(r"[\d*†‡§¶]+$", "", part.strip()).strip(" ,.;")
         words = name.split()
         if words and sum(c.isalpha() for c in name) >= 2 and "@" not in name and not ORGANISATIONS & {w.lower() for w in words} and name not in out:

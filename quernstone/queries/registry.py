@@ -1,8 +1,8 @@
 """All queries of the core."""
 
-from quernstone.queries import catalogue, evaluation, search, texts
+from quernstone.queries import catalogue, evaluation, lifecycle, search, texts
 
-MODULES = (search, catalogue, evaluation, texts)
+MODULES = (search, catalogue, evaluation, texts, lifecycle)
 
 
 def queries() -> dict:
