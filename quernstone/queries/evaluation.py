@@ -146,7 +146,7 @@ def q_target_resolution(spark: SparkSession, d: str) -> DataFrame:
     items = read_table(spark, d, "eval_items").select("item_id", words(F.col("item_text")).alias("w")).where(F.size("w") >= size).select("item_id", F.array_join(F.slice("w", 1, size), " ").alias("run")).distinct()
     runs = read_table(spark, d, "documents").where("text IS NOT NULL").select("doc_id", words(F.col("text")).alias("w")).where(F.size("w") >= size)
     runs = runs.select("doc_id", F.explode(F.array_distinct(word_runs(F.col("w"), size))).alias("run"))
-    found = items.join(runs.join(F.broadcast(items.select("run").distinct()), "run", "left_semi"), "run", "left")
+    found = items.join(runs.join(items.select("run").distinct(), "run", "left_semi"), "run", "left")
     n = F.count_distinct("doc_id")
     return found.groupBy("item_id").agg(F.when(n == 0, "none").when(n == 1, "unique").otherwise("several").alias("resolution"), n.alias("documents"))
 
