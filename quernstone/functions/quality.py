@@ -19,6 +19,9 @@ LOCATOR = r"\b[0-9]{1,4}(?:[–-][0-9]{1,4})?\b"
 INDEX_ENTRY = r"\p{L}[^,\n]{0,40},\s[0-9]{1,4}(?:[–-][0-9]{1,4})?(?:,\s[0-9]{1,4}(?:[–-][0-9]{1,4})?)+"
 FRONT_MATTER = r"ISBN|All rights reserved|Library of Congress|Catalogu?ing|British Library|Printed in|First published|retrieval system|prior permission|Downloaded from|Terms and Conditions|Creative Commons"
 MEASUREMENT = r"[0-9]{1,3}(?:,[0-9]{3})+|[0-9]+\.[0-9]+|[0-9]+\s?%"
+NAME_MARK = r"\p{Lu}[\p{L}'’-]+,\s+\p{Lu}\."
+VENUE_MARK = r"\bvol\.\s*[0-9]+|\bIn:\s"
+CITATION = r"\[[0-9]{1,3}(?:\s*[,–-]\s*[0-9]{1,3})*\]|\(\p{Lu}[\p{L}'’-]+(?:\s+(?:and|&|et al\.)\s*\p{Lu}?[\p{L}'’-]*)?,?\s+[0-9]{4}[a-z]?(?::\s*[0-9]+)?\)|\([0-9]{4}[a-z]?\)|\bpp?\.\s*[0-9]+(?:[–-][0-9]+)?"
 # Words that argue.
 ARGUMENT_WORDS = tuple("is are was were be been being that which who whose this these those it its we our they them their he his she her not no but however because since although though while whereas if then than also only even can could would should must may might how why what when where there thus therefore".split())
 
@@ -110,7 +113,7 @@ def apparatus_kind(text: Column) -> Column:
     argues = F.size(F.filter(words, lambda x: F.lower(x).isin(*ARGUMENT_WORDS))) / n
     numbers, entries = F.regexp_count(text, F.lit(LOCATOR)) / n, F.regexp_count(text, F.lit(INDEX_ENTRY))
     capitals = F.size(F.filter(words, lambda x: x.rlike(r"^\p{Lu}"))) / n
-    marks = F.regexp_count(text, F.lit(ENTRY_MARK)) + F.regexp_count(text, F.lit(r"\p{Lu}[\p{L}'’-]+,\s+\p{Lu}\.")) + F.regexp_count(text, F.lit(r"\bvol\.\s*[0-9]+|\bIn:\s"))
+    marks = F.regexp_count(text, F.lit(ENTRY_MARK)) + F.regexp_count(text, F.lit(NAME_MARK)) + F.regexp_count(text, F.lit(VENUE_MARK))
     index = (argues <= 0.06) & (((entries >= 3) & (numbers >= 0.25)) | ((entries >= 1) & (numbers >= 0.5)))
     bibliography = (argues <= 0.06) & (capitals >= 0.25) & (marks / n >= 0.06)
     front = (argues <= 0.12) & (F.regexp_count(text, F.lit(FRONT_MATTER)) >= 2)
@@ -128,5 +131,4 @@ def health_flags(text: Column, flags: Column) -> Column:
 
 def citations(text: Column) -> Column:
     """Distinct citations as written: bracketed numbers, author-year, years in brackets, pages."""
-    pattern = r"\[[0-9]{1,3}(?:\s*[,–-]\s*[0-9]{1,3})*\]|\(\p{Lu}[\p{L}'’-]+(?:\s+(?:and|&|et al\.)\s*\p{Lu}?[\p{L}'’-]*)?,?\s+[0-9]{4}[a-z]?(?::\s*[0-9]+)?\)|\([0-9]{4}[a-z]?\)|\bpp?\.\s*[0-9]+(?:[–-][0-9]+)?"
-    return F.array_distinct(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)))
+    return F.array_distinct(F.regexp_extract_all(text, F.lit(CITATION), F.lit(0)))

@@ -241,6 +241,12 @@ charged AS (SELECT *, CASE WHEN count(*) OVER (PARTITION BY query_id) <= 10 THEN
 diverse AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY adjusted DESC, position, chunk_id) AS selected_rank FROM charged)
 """
 
+_HYBRID = _PLAIN + f", h AS {c.HITS_SQL}, lexical AS (SELECT query_id, chunk_id, place AS rank FROM looked WHERE gate IS NULL),\n" + _GATE[_GATE.index("semantic AS") :]
+_CITED = "concat_ws(' ', concat_ws(', ', CASE WHEN len(authors) > 0 THEN array_to_string(authors, '; ') END, title), CASE WHEN pub_year > 0 THEN '(' || pub_year || ')' END)"
+_TRACED = _GATE + """, stages AS (SELECT query_id, 'bm25' AS stage, chunk_id, rank FROM lexical UNION ALL SELECT query_id, 'dense', chunk_id, rank FROM semantic
+UNION ALL SELECT query_id, 'fused', chunk_id, position FROM fused UNION ALL SELECT query_id, 'selected', chunk_id, selected_rank FROM diverse WHERE selected_rank <= 10)
+SELECT query_id, stage, count(*) AS n, string_agg(chunk_id, ' ' ORDER BY rank) FILTER (WHERE rank <= 256) AS ids, count(*) > 256 AS truncated FROM stages GROUP BY 1, 2"""
+
 QUERIES = {k[2:]: v for k, v in list(globals().items()) if k.startswith("q_")}
 ORACLES = {
     "gate_tokens": f"SELECT query_id, unnest({gate_tokens_sql('query')}) AS term FROM {c.QUERIES_SQL}",
@@ -257,5 +263,7 @@ ORACLES = {
     "hybrid_match_kind": _GATE + "SELECT match_kind, count(*) AS n, count(*) FILTER (WHERE position <= 10) AS in_top FROM fused GROUP BY 1",
     "relevance_normalised": _GATE + "SELECT query_id, chunk_id, round(relevance, 6) AS relevance FROM relevant",
     "source_diverse_topk": _GATE + "SELECT query_id, chunk_id, source_id, position, selected_rank FROM diverse WHERE selected_rank <= 10",
+    "search_hybrid": _HYBRID + f"SELECT query_id, selected_rank, v.chunk_id, v.source_id, match_kind, round(fusion_score, 6) AS fusion_score, {_CITED} AS citation FROM diverse v JOIN c USING (chunk_id) LEFT JOIN d ON d.document_id = c.document_id WHERE selected_rank <= 10",
+    "search_trace": _TRACED,
     "equality_key_groups": f"SELECT sha256(array_to_string(regexp_extract_all(lower(contents), '[\\p{{L}}\\p{{N}}]+'), ' ')) AS key_sha256, count(*) AS copies, count(DISTINCT source_id) AS sources, min(chunk_id) AS first_chunk_id FROM {c.CHUNKS_SQL} GROUP BY 1 HAVING count(*) > 1",
 }

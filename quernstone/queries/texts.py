@@ -154,6 +154,15 @@ _COVER = ", ".join(f"{{'coverage': len(list_intersect(list_distinct(tokens[1:400
 _WINDOWS = f"""(SELECT unit_id, unnest(range(0, n)) AS "window", trim(array_to_string(t[unnest(range(0, n)) * 80 + 1 : unnest(range(0, n)) * 80 + 96], '')) AS contents FROM (
   SELECT unit_id, t, greatest(1, ceil((len(t) - 16) / 80.0))::INT AS n FROM (SELECT unit_id, regexp_extract_all(trim(contents), '\\S+\\s*') AS t FROM {_U} WHERE contents IS NOT NULL) WHERE len(t) > 0))"""
 
+_UP = _PAR.format(keep="document_id, unit_ordinal, unit_id", table=f"(SELECT * FROM {_U} WHERE document_id IS NOT NULL AND contents IS NOT NULL)")
+_N = "len(regexp_extract_all({0}, {1}))"
+_WORDS = "regexp_extract_all(contents, '\\p{L}+')"
+_APPARATUS = f"""(SELECT chunk_id, CASE WHEN argues <= 0.06 AND ((entries >= 3 AND numbers / n >= 0.25) OR (entries >= 1 AND numbers / n >= 0.5)) THEN 'index'
+  WHEN argues <= 0.06 AND capitals >= 0.25 AND marks / n >= 0.06 AND measured < 6 THEN 'bibliography' WHEN argues <= 0.12 AND front >= 2 AND measured < 6 THEN 'front_matter' END AS kind FROM (
+  SELECT chunk_id, greatest(len({_WORDS}), 1) AS n, len(list_filter({_WORDS}, lambda x: lower(x) IN {_in(q.ARGUMENT_WORDS)})) / greatest(len({_WORDS}), 1) AS argues, len(list_filter({_WORDS}, lambda x: regexp_matches(x, '^\\p{{Lu}}'))) / greatest(len({_WORDS}), 1) AS capitals,
+  {_N.format("contents", _re(q.LOCATOR))} AS numbers, {_N.format("contents", _re(q.INDEX_ENTRY))} AS entries, {_N.format("contents", _re(q.FRONT_MATTER))} AS front, {_N.format("contents", _re(q.MEASUREMENT))} AS measured,
+  {_N.format("contents", _re(q.ENTRY_MARK))} + {_N.format("contents", _re(q.NAME_MARK))} + {_N.format("contents", _re(q.VENUE_MARK))} AS marks FROM {c.CHUNKS_SQL}))"""
+
 QUERIES = {n[2:]: f for n, f in list(globals().items()) if n.startswith("q_")}
 ORACLES = {
     "quality_flags": f"SELECT unit_id, CASE WHEN contents IS NOT NULL AND (NOT regexp_matches(contents, '[\\p{{L}}\\p{{N}}]') OR (coalesce(content_kind, 'prose') = 'prose' AND length(regexp_replace(contents, '[^\\p{{L}}]', '', 'g')) < 3)) THEN 'extraction_artifact' ELSE '' END AS flag FROM {_U}",
@@ -163,6 +172,14 @@ y AS (SELECT doc_id, concat_ws(',', CASE WHEN lost >= 2 OR (lost = 1 AND (privat
   CASE WHEN letters >= 20 AND latin < 0.5 * letters THEN 'non_latin_dominant' ELSE '' END AS note FROM x) SELECT * FROM y WHERE reasons <> '' OR note <> ''""",
     "reference_entries": f"SELECT chunk_id, count(*) AS entries FROM {_CP} WHERE {_ENTRY} GROUP BY 1",
     "section_headings": f"SELECT chunk_id, position, {_HEADING} AS kind FROM {_CP} WHERE ({_HEADING}) IS NOT NULL",
+    "removed_sections": f"""WITH p AS {_UP}, m AS (SELECT *, {_HEADING} AS h0, coalesce({_ENTRY}, false) AS e, regexp_matches(paragraph, {_re(q.NOTE_MARK)}) AS t FROM p),
+k AS (SELECT *, CASE WHEN h0 IN ('bibliography', 'footnotes') THEN h0 END AS h FROM m), l AS (SELECT *, last_value(h IGNORE NULLS) OVER w AS kind FROM k WINDOW w AS (PARTITION BY document_id ORDER BY unit_ordinal, unit_id, position)),
+f AS (SELECT *, h IS NULL AND CASE kind WHEN 'bibliography' THEN e WHEN 'footnotes' THEN t ELSE false END AS fits FROM l),
+s AS (SELECT *, sum((NOT fits)::INT) OVER w AS sec, lead(fits) OVER w AS confirmed FROM f WINDOW w AS (PARTITION BY document_id ORDER BY unit_ordinal, unit_id, position)),
+o AS (SELECT *, max(h) OVER (PARTITION BY document_id, sec) AS opener FROM s), r AS (SELECT *, CASE WHEN fits AND opener IS NOT NULL THEN kind WHEN h IS NOT NULL AND coalesce(confirmed, false) THEN h END AS removed FROM o)
+SELECT document_id, removed, count(*) AS paragraphs, sum(length(paragraph)) AS characters FROM r WHERE removed IS NOT NULL GROUP BY 1, 2""",
+    "apparatus_kind": f"SELECT * FROM {_APPARATUS} WHERE kind IS NOT NULL",
+    "citation_marks": f"SELECT citation, count(*) AS chunks FROM (SELECT chunk_id, unnest(list_distinct(regexp_extract_all(contents, {_re(q.CITATION)}))) AS citation FROM {c.CHUNKS_SQL}) GROUP BY 1",
     "source_health": "SELECT document_id, CASE WHEN k + l = 0 THEN 'empty' WHEN l > 0.5 * (k + l) AND k + l >= 500 THEN 'mostly_removed' WHEN k < 0.1 * (k + l) THEN 'little_retained' WHEN l > 0.02 * (k + l) THEN 'over_budget' ELSE 'sound' END AS verdict FROM (SELECT DISTINCT document_id, substantive_character_count AS k, discarded_corrupt_character_count AS l FROM source_documents WHERE substantive_character_count IS NOT NULL)",
     "section_context": f"SELECT chunk_id, section FROM (SELECT chunk_id, last_value({_HEADING} IGNORE NULLS) OVER (PARTITION BY document_id ORDER BY document_chunk_index, chunk_id) AS section FROM (SELECT *, trim(string_split(contents, chr(10))[1]) AS paragraph FROM {c.CHUNKS_SQL} WHERE document_id IS NOT NULL)) WHERE section IS NOT NULL",
     "language_detection": f"""WITH t AS (SELECT doc_id, regexp_extract_all(lower(text), '\\p{{L}}+') AS tokens FROM documents WHERE doc_id IS NOT NULL), s AS (SELECT doc_id, tokens, list_sort([{_COVER}], 'DESC') AS s FROM t)
