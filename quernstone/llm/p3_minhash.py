@@ -291,4 +291,11 @@ def p3_groups(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES = {"p3_found": p3_found, "p3_groups": p3_groups}
-ORACLES: dict[str, str] = {}
+ORACLES = {
+    "p3_found": r"""
+WITH w AS (SELECT DISTINCT chunk_id, regexp_extract_all(lower(contents), '[\p{L}\p{N}]+') AS w FROM chunks WHERE contents IS NOT NULL AND chunk_id IS NOT NULL),
+s AS (SELECT chunk_id, list_distinct(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) AS s FROM w WHERE len(w) >= 40),
+x AS (SELECT chunk_id, len(s) AS n, unnest(s) AS g FROM s),
+p AS (SELECT a.chunk_id AS chunk_id_a, b.chunk_id AS chunk_id_b, a.n AS n, b.n AS m, count(*) AS k FROM x a JOIN x b ON a.g = b.g AND a.chunk_id < b.chunk_id GROUP BY ALL)
+SELECT chunk_id_a, chunk_id_b FROM p WHERE 2 * k >= n + m - k""",
+}

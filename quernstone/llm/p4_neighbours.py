@@ -407,4 +407,11 @@ def p4_neighbours(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES = {"p4_found": p4_found, "p4_neighbours": p4_neighbours}
-ORACLES: dict[str, str] = {}
+ORACLES = {
+    "p4_found": """
+WITH v AS (SELECT DISTINCT vec_id, embedding_model AS m, vector::DOUBLE[] AS v FROM reuse_vectors WHERE vec_id IS NOT NULL AND embedding_model IS NOT NULL AND vector IS NOT NULL
+  AND len(list_filter(vector, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0 AND len(list_filter(vector, lambda x: x <> 0)) > 0),
+p AS (SELECT a.vec_id AS x, b.vec_id AS y, round(list_cosine_similarity(a.v, b.v), 9) AS s FROM v a JOIN v b ON a.m = b.m AND len(a.v) = len(b.v) AND a.vec_id <> b.vec_id),
+r AS (SELECT *, row_number() OVER (PARTITION BY x ORDER BY s DESC, y) AS r FROM p)
+SELECT DISTINCT least(x, y) AS vec_id_a, greatest(x, y) AS vec_id_b FROM r WHERE r <= 5 AND s >= 0.75""",
+}
