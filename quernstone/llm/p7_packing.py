@@ -208,16 +208,17 @@ def bin_completion(sizes: list[int], capacity: int, search_nodes: int = SEARCH_N
 _PACKED = pa.schema([("doc_id", pa.int64()), ("piece_index", pa.int32()), ("start_token", pa.int64()), ("tokens", pa.int64()), ("container", pa.int64())])
 
 
-def pack(sized: DataFrame, capacity: int = CAPACITY, group_rows: int = GROUP_ROWS) -> DataFrame:
+def pack(sized: DataFrame, capacity: int = CAPACITY, group_rows: int = GROUP_ROWS, count: int | None = None) -> DataFrame:
     """``(doc_id, piece_index, start_token, tokens, container)`` for rows ``(doc_id, tokens)``.
 
     - A text within the capacity is one piece; a larger one is cut into full pieces and a rest, and only then.
     - Texts without tokens take no room and go into the first container of their group; null ids and counts give no rows; repeated ids count once.
     - Texts are spread by hash over groups of about ``group_rows``, so the work of a task is bounded at any size and no key is hot; every
       group leaves at most one container that is not nearly full.
+    - ``count`` is the number of rows where it is known, which spares counting them (and their tokens) first.
     """
     rows = sized.where("doc_id IS NOT NULL AND tokens IS NOT NULL").dropDuplicates(["doc_id"])
-    groups = max(1, -(-sized.count() // group_rows))
+    groups = max(1, -(-(sized.count() if count is None else count) // group_rows))
 
     def run(table: pa.Table) -> pa.Table:
         docs, tokens = table.column("doc_id").to_pylist(), table.column("tokens").to_pylist()
@@ -233,14 +234,19 @@ def pack(sized: DataFrame, capacity: int = CAPACITY, group_rows: int = GROUP_ROW
     return spread.groupBy("g").applyInArrow(run, "doc_id long, piece_index int, start_token long, tokens long, container long")
 
 
+def _packed(spark: SparkSession, folder: str) -> DataFrame:
+    documents = read_table(spark, folder, "documents")
+    return pack(token_counts(documents), count=documents.count())
+
+
 def p7_containers(spark: SparkSession, folder: str) -> DataFrame:
     """Every text of documents, or the pieces of one larger than a container, with its container."""
-    return pack(token_counts(read_table(spark, folder, "documents")))
+    return _packed(spark, folder)
 
 
 def p7_fill(spark: SparkSession, folder: str) -> DataFrame:
     """How full the containers are."""
-    of = pack(token_counts(read_table(spark, folder, "documents"))).groupBy("container").agg(F.sum("tokens").alias("t"))
+    of = _packed(spark, folder).groupBy("container").agg(F.sum("tokens").alias("t"))
     return of.agg(F.count(F.lit(1)).alias("containers"), F.sum("t").alias("tokens"), F.ceil(F.sum("t") / CAPACITY).alias("least_containers"), F.max("t").alias("fullest"), F.round(F.avg(F.col("t") / CAPACITY), 6).alias("mean_fill"))
 
 
