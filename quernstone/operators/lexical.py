@@ -1,7 +1,10 @@
 """BM25 over an inverted index of plain tables, for batches of queries in one job."""
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -43,6 +46,16 @@ def build_index(texts: DataFrame) -> Index:
 BROADCAST_ROWS = 1_000_000
 
 
+def _weighted(index: Index, queries: DataFrame) -> DataFrame:
+    terms = queries.select("query_id", F.explode(index_tokens(F.col("query"))).alias("term")).groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("qf"))
+    return terms.join(index.terms, "term").select("query_id", "term", (F.col("qf") * F.col("idf")).alias("weight"))
+
+
+def _gains(index: Index) -> DataFrame:
+    norm = F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl"))
+    return index.postings.join(F.broadcast(index.totals.select("avgdl")), how="cross").select("term", "chunk_id", (F.col("tf") / norm).alias("gain"))
+
+
 def bm25(index: Index, queries: DataFrame, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
     """``(query_id, chunk_id, score)`` for each chunk that shares an index term with a query ``(query_id, query)``.
 
@@ -51,17 +64,69 @@ def bm25(index: Index, queries: DataFrame, broadcast_rows: int = BROADCAST_ROWS)
     neither the matches nor the sums are shuffled, and a top-k that follows is cut in the same tasks.
     Otherwise both sides are shuffled by term.
     """
-    terms = queries.select("query_id", F.explode(index_tokens(F.col("query"))).alias("term")).groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("qf"))
-    weighted = terms.join(index.terms, "term").select("query_id", "term", (F.col("qf") * F.col("idf")).alias("weight"))
-    norm = F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl"))
-    postings = index.postings.join(F.broadcast(index.totals.select("avgdl")), how="cross").select("term", "chunk_id", (F.col("tf") / norm).alias("gain"))
-    if terms.count() <= broadcast_rows:
+    weighted, postings = _weighted(index, queries), _gains(index)
+    if weighted.count() <= broadcast_rows:
         hits = postings.repartition("chunk_id").join(F.broadcast(weighted), "term")
     else:
         hits = weighted.join(postings, "term")
     return hits.groupBy("query_id", "chunk_id").agg(F.round(F.sum(F.col("weight") * F.col("gain")), 9).alias("score"))
 
 
+#: Queries scored at once against a batch of chunks; bounds the score block a task holds.
+QUERY_SLICE = 512
+
+
+def bm25_top_k(index: Index, queries: DataFrame, k: int, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
+    """``(query_id, chunk_id, score, rank)``: the first k of :func:`bm25` for each query, equal scores by chunk_id.
+
+    Where the query terms are few enough to broadcast, a task scores its chunks in blocks against slices
+    of the queries and passes on no more than k chunks (and ties) per query and block, so that the
+    matches, which are many more, are never rows.  Otherwise the joined scores are ranked.
+    """
+    weighted = _weighted(index, queries)
+    table = weighted.limit(broadcast_rows + 1).toArrow()
+    if table.num_rows > broadcast_rows:
+        return ranked(bm25(index, queries, -1), k)
+    ids, at = np.unique(table.column("query_id").to_numpy(), return_inverse=True)
+    terms = {t: i for i, t in enumerate(dict.fromkeys(table.column("term").to_pylist()))}
+    term_of = np.array([terms[t] for t in table.column("term").to_pylist()], dtype=np.int64)
+    weights = table.column("weight").to_numpy()
+    slices = []
+    for first in range(0, len(ids), QUERY_SLICE):
+        m = np.nonzero((at >= first) & (at < first + QUERY_SLICE))[0]
+        m = m[np.argsort(term_of[m], kind="stable")]
+        pointers = np.concatenate(([0], np.cumsum(np.bincount(term_of[m], minlength=len(terms)))))
+        slices.append((ids[first : first + QUERY_SLICE], pointers, at[m] - first, weights[m]))
+    known = queries.sparkSession.sparkContext.broadcast((terms, slices))
+    schema = pa.schema([("query_id", pa.int64()), ("chunk_id", pa.string()), ("score", pa.float64())])
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        terms, slices = known.value
+        for b in batches:
+            names = b.column(0)
+            lists, gains = b.column(1), b.column(2).flatten().to_numpy(zero_copy_only=False)
+            own = np.repeat(np.arange(len(names)), np.diff(lists.offsets.to_numpy()))
+            term = np.array([terms.get(t, -1) for t in lists.flatten().to_pylist()], dtype=np.int64)
+            own, gains, term = own[term >= 0], gains[term >= 0], term[term >= 0]
+            for q_ids, pointers, q_at, q_weight in slices:
+                counts = pointers[term + 1] - pointers[term]
+                total = int(counts.sum())
+                if not total:
+                    continue
+                entry = np.repeat(pointers[term] - np.concatenate(([0], np.cumsum(counts)[:-1])), counts) + np.arange(total)
+                cell = np.repeat(own, counts) * len(q_ids) + q_at[entry]
+                block = np.bincount(cell, np.repeat(gains, counts) * q_weight[entry], len(names) * len(q_ids)).reshape(len(names), len(q_ids)).round(9)
+                keep = block > 0
+                if len(names) > k:
+                    keep &= block >= np.partition(block, len(names) - k, axis=0)[len(names) - k]
+                rows, columns = np.nonzero(keep)
+                yield pa.RecordBatch.from_arrays([pa.array(q_ids[columns], pa.int64()), names.take(pa.array(rows)), pa.array(block[rows, columns])], schema=schema)
+
+    by_chunk = _gains(index).groupBy("chunk_id").agg(F.collect_list(F.struct("term", "gain")).alias("p"))  # the distinct terms of one chunk
+    found = by_chunk.select("chunk_id", F.col("p.term").alias("terms"), F.col("p.gain").alias("gains")).mapInArrow(score, "query_id long, chunk_id string, score double")
+    return ranked(found, k)
+
+
 def ranked(scores: DataFrame, k: int | None = None, score: str = "score", tie: str = "chunk_id", group: str = "query_id", into: str = "rank") -> DataFrame:
     """Scores with ranks from 1 in each group, equal scores by ``tie``; with ``k`` only the first k, pruned before the shuffle."""
     out = scores.withColumn(into, F.row_number().over(W.partitionBy(group).orderBy(F.col(score).desc(), tie)))
@@ -89,11 +154,10 @@ def gated(ranking: DataFrame, chunks: DataFrame, queries: DataFrame, depth: int,
     window = max(4 * depth, minimum_candidates)
     window = max(window, ceiling) if passes is not None else window
     looked = ranking.where(F.col("rank") <= window)
-    facts = chunks.select("chunk_id", "source_id", "document_id", F.coalesce("health_flags", F.lit(0)).alias("flags"), "contents", *([passes.alias("passes")] if passes is not None else [F.lit(True).alias("passes")]))
-    joined = looked.join(facts, "chunk_id").join(queries, "query_id")
-    overlap = F.arrays_overlap(gate_tokens(F.col("query")), gate_tokens(F.col("contents")))
-    words = F.size(F.regexp_extract_all("contents", F.lit(r"\S+"), F.lit(0)))
-    judged = joined.withColumn("gate", first_gate(F.col("flags"), F.col("passes"), overlap, words, minimum_words, exclude_apparatus))
+    facts = chunks.select("chunk_id", "source_id", "document_id", F.coalesce("health_flags", F.lit(0)).alias("flags"), gate_tokens(F.col("contents")).alias("tokens"), F.size(F.regexp_extract_all("contents", F.lit(r"\S+"), F.lit(0))).alias("words"), *([passes.alias("passes")] if passes is not None else [F.lit(True).alias("passes")]))
+    # tokens are taken before the join, once a chunk and once a query, not once a candidate
+    joined = looked.join(facts, "chunk_id").join(queries.select("query_id", gate_tokens(F.col("query")).alias("asked")), "query_id")
+    judged = joined.withColumn("gate", first_gate(F.col("flags"), F.col("passes"), F.arrays_overlap("asked", "tokens"), F.col("words"), minimum_words, exclude_apparatus))
     order = W.partitionBy("query_id").orderBy("rank")
     accepted = F.col("gate").isNull()
     judged = judged.withColumn("before", F.coalesce(F.sum(accepted.cast("int")).over(order.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))

@@ -26,7 +26,7 @@ def q_document_frequencies(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _ranking(spark: SparkSession, d: str, k: int) -> DataFrame:
-    return lexical.ranked(lexical.bm25(_index(spark, d), c.text_queries(spark, d)), k)
+    return lexical.bm25_top_k(_index(spark, d), c.text_queries(spark, d), k)
 
 
 def q_bm25_topk(spark: SparkSession, d: str) -> DataFrame:
@@ -60,7 +60,7 @@ def q_bm25_with_feedback(spark: SparkSession, d: str) -> DataFrame:
     """The second pass: each query with its mined terms, ranked again."""
     terms = q_prf_terms(spark, d).groupBy("query_id").agg(F.array_sort(F.collect_list("term")).alias("more"))  # at most eight
     queries = c.text_queries(spark, d).join(terms, "query_id", "left").select("query_id", F.concat_ws(" ", "query", F.array_join(F.coalesce("more", F.array().cast("array<string>")), " ")).alias("query"))
-    return lexical.ranked(lexical.bm25(_index(spark, d), queries), TOP_K).select("query_id", "chunk_id", F.round("score", 6).alias("score"), "rank")
+    return lexical.bm25_top_k(_index(spark, d), queries, TOP_K).select("query_id", "chunk_id", F.round("score", 6).alias("score"), "rank")
 
 
 def _vectors(spark: SparkSession, d: str) -> DataFrame:

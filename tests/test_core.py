@@ -48,6 +48,10 @@ def test_bm25_paths_agree(spark):
     two = {(r.query_id, r.chunk_id): r.score for r in lexical.bm25(index, queries, broadcast_rows=-1).collect()}
     assert one == two and set(one) == {(1, "a"), (1, "b"), (1, "c")}
     assert [r.chunk_id for r in lexical.ranked(lexical.bm25(index, queries)).orderBy("rank").collect()][0] == "b"
+    for k in (1, 2, 9):
+        want = [tuple(r) for r in lexical.ranked(lexical.bm25(index, queries), k).orderBy("rank").collect()]
+        assert [tuple(r) for r in lexical.bm25_top_k(index, queries, k).orderBy("rank").collect()] == want
+        assert [tuple(r) for r in lexical.bm25_top_k(index, queries, k, broadcast_rows=0).orderBy("rank").collect()] == want
 
 
 def test_walk_stops_at_depth_and_filters_after_ranking(spark):
