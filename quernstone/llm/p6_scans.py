@@ -12,6 +12,7 @@ import re
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import cache
+from hashlib import blake2b
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -197,8 +198,10 @@ def is_prose(text: str) -> bool:
 def title_like(line: str) -> bool:
     """Whether a line may be a running header: short, no sentence, in capitals or with its long words capitalised."""
     line = line.strip()
+    if len(line) > HEADER_LETTERS or not (first := _LETTERS.search(line)) or not first[0][0].isupper():
+        return False
     words = _LETTERS.findall(_TITLE_YEAR.sub("", line))
-    if not words or len(line) > HEADER_LETTERS or _SENTENCE_END.search(line) or _LEADERS.search(line):
+    if not words or _SENTENCE_END.search(line) or _LEADERS.search(line):
         return False
     long = [w for w in words if len(w) > 3] or words
     return words[0][0].isupper() and sum(w[0].isupper() for w in long) >= 0.6 * len(long)
@@ -213,17 +216,11 @@ def header_key(line: str) -> str:
     return letters if len(letters) >= 4 else ""
 
 
-def edges(lines: list[str]) -> list[int]:
-    """Positions of the first and last two lines that are not blank."""
-    full = [i for i, line in enumerate(lines) if line.strip()]
-    return sorted(set(full[:2] + full[-2:]))
-
-
 def furniture(lines: list[str], headers: set[str]) -> dict[int, set[str]]:
-    """Kinds by position of the lines that are page furniture."""
+    """Kinds by position of the lines that are page furniture; a chunk may span page breaks, so every line is looked at."""
     out: dict[int, set[str]] = {}
     full = [i for i, line in enumerate(lines) if line.strip()]
-    for i in edges(lines):
+    for i in full:
         line = lines[i]
         if _NUMBER_LINE.match(line):
             out[i] = {"page_number"}
@@ -387,20 +384,21 @@ def vocabulary(chunks: DataFrame, least: int = LEAST_TEXTS, most: int = VOCABULA
     return {r[0]: r[1] for r in rows}
 
 
-def _edge_lines(rows: DataFrame) -> DataFrame:
-    """``(chunk_id, document_id, contents, keys)``: the header keys of the outer lines of each text."""
-    schema = pa.schema([("document_id", pa.string()), ("key", pa.string()), ("chunk_id", pa.string())])
+def _title_lines(rows: DataFrame) -> DataFrame:
+    """``(document_id, key, chunk_id, text)``: the header keys of all lines of each text, and the text's digest."""
+    schema = pa.schema([("document_id", pa.string()), ("key", pa.string()), ("chunk_id", pa.string()), ("text", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out = set()
             for chunk, document, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
-                lines = text.split("\n")
-                out |= {(document, key, chunk) for i in edges(lines) if (key := header_key(lines[i]))}
-            columns = list(zip(*out, strict=True)) or [()] * 3
+                if keys := {key for line in text.split("\n") if (key := header_key(line))}:
+                    digest = blake2b(text.encode(), digest_size=16).digest()
+                    out |= {(document, key, chunk, digest) for key in keys}
+            columns = list(zip(*out, strict=True)) or [()] * 4
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
 
-    return rows.mapInArrow(run, "document_id string, key string, chunk_id string")
+    return rows.mapInArrow(run, "document_id string, key string, chunk_id string, text binary")
 
 
 _SCHEMA = pa.schema([("chunk_id", pa.string()), ("contents", pa.string()), ("kinds", pa.list_(pa.string())), ("removed_characters", pa.int32()), ("mended_words", pa.int32())])
@@ -409,15 +407,15 @@ _SCHEMA = pa.schema([("chunk_id", pa.string()), ("contents", pa.string()), ("kin
 def mended(chunks: DataFrame) -> DataFrame:
     """``(chunk_id, contents, kinds, removed_characters, mended_words)`` of every text.
 
-    - A running header is a title-like outer line that at least two texts of its document share, or a numbered chapter line at the edge.
+    - A running header is a title-like line that at least two different texts of its document share, or a numbered chapter line, wherever it stands.
     - Null ids and texts give no rows; repeated rows count once; a null document has no shared headers; extra columns are ignored.
     - Word counts and headers are gathered over all texts; texts are read whole; only the vocabulary, bounded by a parameter, is sent to the tasks.
     """
     rows = chunks.select("chunk_id", "document_id", "contents").where("chunk_id IS NOT NULL AND contents IS NOT NULL").withColumn("document_id", F.coalesce("document_id", F.lit("")))
     counts = chunks.sparkSession.sparkContext.broadcast(vocabulary(chunks.where("contents IS NOT NULL")))
-    lines = cut(_edge_lines(rows.where("instr(contents, '\n') > 0")))
-    shared = lines.where("document_id <> ''").distinct().groupBy("document_id", "key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    of_chunk = lines.join(shared, ["document_id", "key"], "left_semi").groupBy("chunk_id", "document_id").agg(F.collect_set("key").alias("headers"))  # at most four a text
+    lines = cut(_title_lines(rows.where("instr(contents, '\n') > 0")))
+    shared = lines.where("document_id <> ''").select("document_id", "key", "text").distinct().groupBy("document_id", "key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    of_chunk = lines.join(shared, ["document_id", "key"], "left_semi").groupBy("chunk_id", "document_id").agg(F.collect_set("key").alias("headers"))  # at most the lines of a text
     joined = rows.join(of_chunk, ["chunk_id", "document_id"], "left").select("chunk_id", "contents", "headers")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

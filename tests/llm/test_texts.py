@@ -113,3 +113,15 @@ def test_encoding(spark):
     dirty = spark.createDataFrame([(1, None), (2, ""), (3, "Marks such as ©, ® and ¶"), (4, "Gr�fin und K�nig"), (5, "память and λόγος"), (None, "FÃ¼r")], "doc_id long, text string")
     assert [(x.doc_id, x.recovered) for x in p9.garbled(dirty, models).collect()] == [(4, False)]
     assert p9.garbled(dirty.limit(0), models).count() == 0
+
+
+def test_scans_inside_a_page_break(spark):
+    parts = [s + "." for s in PROSE.replace("?", ".").split(".") if s]
+    above, below = ["the archive of the town holds", "more than the school, and no reader"], ["forgets how the map was made in", "that year, as it was left"]
+    pages = [(f"c{i}", "d1", "\n".join([f"{parts[0]} {i}", *above, *furniture, *below, "for the readers of the time."]), 1) for i, furniture in enumerate((["THE QUIET MAP", "Page 35"], ["— 18 —", "The Quiet Map"], ["CHAPTER VII. After the Circuit, the Audience 49"]))]
+    copy = "\n".join(["it was the year of the map and of the town,", "in which the school of the town was left", "Between Stone and the Archive", "there is more than the reader can see in it,", "and no map of the town is made for the school."])
+    df = spark.createDataFrame([*pages, ("e1", "d1", copy, 1), ("e2", "d1", copy, 1)], "chunk_id string, document_id string, contents string, kinds int")
+    rows = {r.chunk_id: r for r in p6.mended(df).collect()}
+    for c in ("c0", "c1", "c2"):
+        assert set(rows[c].kinds) == {"header", "page_number"} and "no reader forgets how" in rows[c].contents
+    assert not rows["e1"].kinds and "left Between Stone" in rows["e1"].contents  # copies of a text are one text: its lines are not shared
