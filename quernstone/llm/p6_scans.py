@@ -377,9 +377,10 @@ def _cased(pattern: str, word: str) -> str:
 
 
 def vocabulary(chunks: DataFrame, least: int = LEAST_TEXTS, most: int = VOCABULARY) -> dict[str, int]:
-    """Words by the number of texts that hold them, counted over all texts; at most ``most`` of them, the most frequent."""
+    """Words by the number of different texts that hold them, counted over all texts; at most ``most`` of them, the most frequent."""
     words = F.array_distinct(F.regexp_extract_all(F.lower("contents"), F.lit(r"\p{L}{2,30}"), F.lit(0)))
-    counted = chunks.select(F.explode(words).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least)
+    texts = chunks.select("contents").distinct()  # copies are collapsed before the shuffle, so a hot text is no hot spot
+    counted = texts.select(F.explode(words).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least)
     rows = counted.orderBy(F.col("n").desc(), "word").limit(most).collect()  # bounded by most
     return {r[0]: r[1] for r in rows}
 
@@ -408,7 +409,7 @@ def mended(chunks: DataFrame) -> DataFrame:
     """``(chunk_id, contents, kinds, removed_characters, mended_words)`` of every text.
 
     - A running header is a title-like line that at least two different texts of its document share, or a numbered chapter line, wherever it stands.
-    - Null ids and texts give no rows; repeated rows count once; a null document has no shared headers; extra columns are ignored.
+    - Null ids and texts give no rows; repeated rows and copies under other ids count once; a null document has no shared headers; extra columns are ignored.
     - Word counts and headers are gathered over all texts; texts are read whole; only the vocabulary, bounded by a parameter, is sent to the tasks.
     """
     rows = chunks.select("chunk_id", "document_id", "contents").where("chunk_id IS NOT NULL AND contents IS NOT NULL").withColumn("document_id", F.coalesce("document_id", F.lit("")))

@@ -125,3 +125,14 @@ def test_scans_inside_a_page_break(spark):
     for c in ("c0", "c1", "c2"):
         assert set(rows[c].kinds) == {"header", "page_number"} and "no reader forgets how" in rows[c].contents
     assert not rows["e1"].kinds and "left Between Stone" in rows["e1"].contents  # copies of a text are one text: its lines are not shared
+
+
+def test_scans_with_a_hot_text(spark):
+    damaged = "The archive of tliere is in the town and evcry reader of the le tter is at the school in that year."
+    sound = [f"The map number {i} is in there for every reader of the letter, as it was made in that year." for i in range(12)]
+    rows = [(f"s{i}", "d1", t, 1) for i, t in enumerate(sound)] + [(f"h{i}", "d2", damaged, 1) for i in range(6)] + [("h0", "d2", damaged, 1)] * 6
+    df = spark.createDataFrame(rows, "chunk_id string, document_id string, contents string, kinds int")
+    counts = p6.vocabulary(df, least=1)
+    assert counts["tliere"] == 1 and counts["there"] == 12
+    got = {r.chunk_id: r for r in p6.mended(df).collect()}
+    assert all(got[f"h{i}"].kinds == ["character"] and "of there is" in got[f"h{i}"].contents and "every reader of the letter" in got[f"h{i}"].contents for i in range(6))
