@@ -136,19 +136,31 @@ def q_question_families(spark: SparkSession, d: str) -> DataFrame:
     return connected_components(links, "item_id", "first").select(F.col("node").alias("item_id"), F.col("component").alias("family"))
 
 
-def q_target_resolution(spark: SparkSession, d: str) -> DataFrame:
-    """Items whose first eight words, as they stand, open in exactly one document, in several, or in none.
+def resolved(items: DataFrame, documents: DataFrame, size: int = 8) -> DataFrame:
+    """``(item_id, resolution, documents)``: in how many documents the whole text of an item stands, by its words in lower case.
 
-    Runs of eight words join on equality, so no item is compared with every document.
+    An item's first words, eight or all of a shorter one, find candidates by equality, so no item is
+    compared with every document; a candidate counts if it holds the item's whole run of words.  An
+    item without words is in no document.
     """
-    size = 8
-    words = lambda x: F.regexp_extract_all(F.lower(x), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
-    items = read_table(spark, d, "eval_items").select("item_id", words(F.col("item_text")).alias("w")).where(F.size("w") >= size).select("item_id", F.array_join(F.slice("w", 1, size), " ").alias("run")).distinct()
-    runs = read_table(spark, d, "documents").where("text IS NOT NULL").select("doc_id", words(F.col("text")).alias("w")).where(F.size("w") >= size)
-    runs = runs.select("doc_id", F.explode(F.array_distinct(word_runs(F.col("w"), size))).alias("run"))
-    found = items.join(runs.join(items.select("run").distinct(), "run", "left_semi"), "run", "left")
+    words = lambda x: F.coalesce(F.regexp_extract_all(F.lower(x), F.lit(r"[\p{L}\p{N}]+"), F.lit(0)), F.array().cast("array<string>"))
+    spaced = lambda w: F.concat(F.lit(" "), F.array_join(w, " "), F.lit(" "))
+    wanted = items.where("item_id IS NOT NULL").select("item_id", words(F.col("item_text")).alias("w"))
+    wanted = wanted.select("item_id", spaced(F.col("w")).alias("whole"), F.least(F.size("w"), F.lit(size)).alias("n"), F.array_join(F.slice("w", 1, size), " ").alias("run")).distinct()
+    sizes = sorted(r[0] for r in wanted.where("n > 0").select("n").distinct().collect())  # at most eight
+    texts = documents.where("doc_id IS NOT NULL AND text IS NOT NULL").select("doc_id", words(F.col("text")).alias("w"))
+    every = F.concat(*[word_runs(F.col("w"), n) for n in sizes or [size]])
+    runs = texts.select("doc_id", F.explode(F.array_distinct(every)).alias("run"))
+    opened = runs.join(wanted.where("n > 0").select("run").distinct(), "run", "left_semi")
+    candidates = wanted.where("n > 0").join(opened, "run").select("item_id", "whole", "doc_id")
+    held = candidates.join(texts.select("doc_id", spaced(F.col("w")).alias("t")), "doc_id").where(F.col("t").contains(F.col("whole"))).select("item_id", "doc_id")
     n = F.count_distinct("doc_id")
-    return found.groupBy("item_id").agg(F.when(n == 0, "none").when(n == 1, "unique").otherwise("several").alias("resolution"), n.alias("documents"))
+    return wanted.select("item_id").distinct().join(held, "item_id", "left").groupBy("item_id").agg(F.when(n == 0, "none").when(n == 1, "unique").otherwise("several").alias("resolution"), n.alias("documents"))
+
+
+def q_target_resolution(spark: SparkSession, d: str) -> DataFrame:
+    """Items whose whole text, as its words stand, is in exactly one document, in several, or in none."""
+    return resolved(read_table(spark, d, "eval_items"), read_table(spark, d, "documents"))
 
 
 _R = f"""

@@ -250,3 +250,13 @@ def test_registry_names_are_core_or_training():
     import __spark_entry__ as e
 
     assert set(e.oracle_sql()) <= set(e.queries())
+
+
+def test_target_resolution_of_whole_texts(spark):
+    from quernstone.queries.evaluation import resolved
+
+    opening = "one two three four five six seven eight"
+    items = [(1, f"{opening} nine TEN"), (2, f"{opening} eleven"), (3, opening), (4, f"{opening} twelve"), (5, "Two, three"), (6, "zero"), (7, ""), (8, None), (9, f"{opening} nine t"), (1, f"{opening} nine TEN")]
+    docs = [(1, f"So: {opening} nine ten."), (2, f"{opening}, eleven; {opening} nine"), (3, f"{opening} eleven more"), (4, "two and three"), (5, None), (6, "")]
+    got = {r.item_id: (r.resolution, r.documents) for r in resolved(spark.createDataFrame(items, "item_id long, item_text string"), spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert got == {1: ("unique", 1), 2: ("several", 2), 3: ("several", 3), 4: ("none", 0), 5: ("several", 3), 6: ("none", 0), 7: ("none", 0), 8: ("none", 0), 9: ("none", 0)}
