@@ -51,11 +51,14 @@ def q_value_inventory(spark: SparkSession, d: str) -> DataFrame:
 
 
 def q_staleness_diff(spark: SparkSession, d: str) -> DataFrame:
-    """The latest version of each source file against the first one recorded."""
-    docs = read_table(spark, d, "source_documents").select("source_id", "document_id", "size_bytes", "modified_at", "sha256").dropDuplicates(["document_id"])
+    """The latest version of each source file against the first one recorded, over all sources.
+
+    Both sides come from one table, so every source is on both and the rows are modifications.
+    """
+    docs = read_table(spark, d, "source_documents").select("source_id", "document_id", "size_bytes", "modified_at", "sha256").where("source_id IS NOT NULL").dropDuplicates(["document_id"])
     now = k.latest_versions(docs, "source_id", ["modified_at", "document_id"])
     before = docs.groupBy("source_id").agg(F.min_by(F.struct("size_bytes", "modified_at", "sha256"), F.struct("modified_at", "document_id")).alias("s")).select("source_id", "s.*")
-    return k.staleness(now.where("source_id < 'src_e'"), before.where("source_id >= 'src_1'"), "source_id")
+    return k.staleness(now, before, "source_id")
 
 
 def q_find_source(spark: SparkSession, d: str) -> DataFrame:

@@ -260,3 +260,17 @@ def test_target_resolution_of_whole_texts(spark):
     docs = [(1, f"So: {opening} nine ten."), (2, f"{opening}, eleven; {opening} nine"), (3, f"{opening} eleven more"), (4, "two and three"), (5, None), (6, "")]
     got = {r.item_id: (r.resolution, r.documents) for r in resolved(spark.createDataFrame(items, "item_id long, item_text string"), spark.createDataFrame(docs, "doc_id long, text string")).collect()}
     assert got == {1: ("unique", 1), 2: ("several", 2), 3: ("several", 3), 4: ("none", 0), 5: ("several", 3), 6: ("none", 0), 7: ("none", 0), 8: ("none", 0), 9: ("none", 0)}
+
+
+def test_staleness_diff_takes_every_source(spark, tmp_path):
+    from datetime import datetime
+
+    from quernstone.queries.catalogue import q_staleness_diff
+
+    rows = []
+    for s in ("aaa", "src_0a", "src_5", "src_e9", "zzz", None):
+        rows += [(s, f"{s}_d1", 1, datetime(2020, 1, 1), "x"), (s, f"{s}_d2", 2, datetime(2021, 1, 1), "y"), (s, f"{s}_d2", 2, datetime(2021, 1, 1), "y")]
+    rows += [("src_f", "f_d1", 1, datetime(2020, 1, 1), "x"), ("src_0b", "b_d1", 1, datetime(2020, 1, 1), "x")]
+    spark.createDataFrame(rows, "source_id string, document_id string, size_bytes long, modified_at timestamp, sha256 string").write.parquet(str(tmp_path / "source_documents.parquet"))
+    got = {(r.source_id, r.change) for r in q_staleness_diff(spark, str(tmp_path)).collect()}
+    assert got == {(s, "modified") for s in ("aaa", "src_0a", "src_5", "src_e9", "zzz")}
