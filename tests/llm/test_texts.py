@@ -136,3 +136,22 @@ def test_scans_with_a_hot_text(spark):
     assert counts["tliere"] == 1 and counts["there"] == 12
     got = {r.chunk_id: r for r in p6.mended(df).collect()}
     assert all(got[f"h{i}"].kinds == ["character"] and "of there is" in got[f"h{i}"].contents and "every reader of the letter" in got[f"h{i}"].contents for i in range(6))
+
+
+def test_encoding_decoys_and_losses(spark):
+    r = random.Random(9)
+    en = "the map “quoted” was left — and no reader forgets how it is read in the town".split()
+    fr = "le théâtre révèle déjà la règle où l'élève préfère être fidèle à côté dans la ville".split()
+    docs = [(i, " ".join(r.choice(en if i % 2 else fr) for _ in range(50)), "en" if i % 2 else "fr") for i in range(120)]
+    models = p9.fit(spark.createDataFrame(docs + docs[:9], "doc_id long, text string, lang string"))
+    assert models == p9.fit(spark.createDataFrame(docs[::-1], "doc_id long, text string, lang string"))  # neither order nor copies matter
+    cases = {
+        1: "The sign «AMANHÃ» was left on the map of the town.", 2: "the town ◊†·◊▲‡ □◦‡§□◊~|▼_ ▲■††□~§", 3: "The library SÃO PAULO and NAÇÕES is in the town.", 4: "In the town the price is £40 and the word is λόγος.",
+        5: "The map of the town â it was left â and the âquotedâ reader is in it.", 6: "the ôquotedö map ù and the ôquotedö reader ù is in the town", 7: "le th��tre r�v�le la r�gle dans la ville", 8: "&#226;&#8364;&#339;quoted&#226;&#8364;&#157; map in the town", 9: "if (x) &#1031; &#8851; &nbsp;",
+    }
+    df = spark.createDataFrame([(k, v, "x", "y") for k, v in cases.items()], "doc_id long, text string, chain string, bits string")
+    got = {x.doc_id: x for x in p9.garbled(df, models).collect()}
+    assert set(got) == {5, 6, 7, 8}
+    assert got[6].text == "the “quoted” map — and the “quoted” reader — is in the town" and got[6].recovered and got[8].text == "“quoted” map in the town"
+    assert "théâtre révèle la règle" in got[7].text and not got[7].recovered and not got[5].recovered
+    assert all(x.chain for x in got.values())  # nothing comes out without a chain that shortens it
