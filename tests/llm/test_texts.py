@@ -17,7 +17,7 @@ def test_quality_rules(spark):
     df = spark.createDataFrame([(k, v, 1, "x") for k, v in cases.items()] + [("null", None, 1, "x"), ("prose", PROSE, 1, "x"), (None, PROSE, 1, "x")], "chunk_id string, contents string, stats int, failed string")
     got = {r.chunk_id: r.failed for r in p5.graded(df).collect()}
     assert {k for k, v in got.items() if not v} == {"prose", "long"} and "null" not in got
-    assert "references" in got["references"] and "leaders" in got["contents"] and got["empty"] == ["no_words"]
+    assert "references" in got["references"] and "contents" in got["contents"] and "gopher_alphabetic" in got["numbers"] and "markup" in got["markup"] and got["empty"] == ["no_words"]
     assert p5.graded(df.limit(0)).count() == 0
 
 
