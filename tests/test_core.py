@@ -4,7 +4,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from quernstone.functions import html, metadata, quality, reading, synthesis
+from quernstone.functions import derivations, html, metadata, quality, reading
 from quernstone.functions.mathx import inverse_normal
 from quernstone.operators import catalogue, chunking, dense, evaluation, fusion, lexical, usage
 from quernstone.operators.components import connected_components
@@ -188,20 +188,46 @@ def test_evaluation(spark):
     assert (two.low, two.high) == (0.5, 0.7)
 
 
-def test_synthesis(spark):
+BELLS = "Both bells of Orrin are cast in bronze; they ring at noon. Because the tower leans, its stair is closed. Nobody climbs it [GAP 3] today."
+
+
+def derivation(**changes):
     d = {
-        "sources": {"S1": {"author": "Lee", "title": "Book", "text": "As noted, prices rose in 1990. Nothing else."}}, "conclusion": "Prices rose.", "checks": [{"source": "S1", "result": "kept"}],
-        "steps": [{"id": "A", "claim": "rise", "supports": "Z", "status": "part", "why": "answers"}],
-        "sentences": [{"step": "A", "pieces": [{"source": "S1", "text": "As noted, prices rose in 1990.", "ops": [{"op": "DELETE", "text": "As noted, "}, {"op": "NORMALISE", "rule": "case", "to": "upper"}]}]}],
+        "sources": {"S1": {"author": "Vane", "title": "Bells", "locator": "p. 4", "text": BELLS}}, "conclusion": "The stair is closed.", "checks": [{"source": "S1", "result": "holds"}],
+        "steps": [
+            {"id": "A", "claim": "bronze", "supports": "Z", "status": "part", "why": "it says what they are"},
+            {"id": "B", "claim": "because", "supports": "A", "status": "stated", "why": "it joins them", "licence": {"source": "S1", "text": "Because the tower leans"}},
+            {"id": "C", "claim": "access", "supports": "A", "status": "gap", "why": "nobody says so", "missing": "A → C"},
+        ],
+        "sentences": [
+            {"step": "A", "pieces": [{"source": "S1", "text": "Both bells of Orrin are cast in bronze", "ops": [{"op": "INFLECT", "kind": "agreement", "from": "bells", "to": "bell"}, {"op": "INFLECT", "kind": "agreement", "from": "are", "to": "is"}, {"op": "DELETE", "text": "of Orrin"}, {"op": "NORMALISE", "rule": "end-stop"}]}]},
+            {"step": ["B", "C"], "pieces": [{"source": "S1", "text": "its stair is closed", "ops": [{"op": "INFLECT", "kind": "antecedent", "from": "its", "to": "tower’s"}, {"op": "NORMALISE", "rule": "case", "to": "upper"}]}, {"source": "S1", "link": "B", "text": "Because", "ops": [{"op": "NORMALISE", "rule": "case", "to": "lower"}]}, {"source": "S1", "text": "the tower leans", "ops": [{"op": "NORMALISE", "rule": "end-stop"}]}]},
+        ],
+    }
+    return d | changes
+
+
+def test_derivations(spark):
+    out = derivations.render(derivation())
+    assert out["synthesis"] == "Both bell is cast in bronze [S1]. Tower’s stair is closed because the tower leans [S1]. ⟦GAP: A → C⟧"
+    assert out["references"] == "[S1] Vane, Bells, p. 4" and out["used_sentences"] == 2 and out["deviations"] == []
+    assert "S1 0-38 (agreement “bells” to “bell”; agreement “are” to “is”; without “of Orrin”; full stop)" in out["provenance"] and "S1: 2 of 3 sentences; holds" in out["reasoning"]
+    piece = lambda *p, **k: derivation(sentences=[{"step": ["A", "B", "C"], "pieces": list(p), **k}])
+    part = {"source": "S1", "text": "they ring at noon."}
+    fragment = derivations.render(piece(part, deviation="a fragment"))
+    assert fragment["synthesis"].startswith("they ring at noon [S1].") and fragment["deviations"] == ["1: a fragment (Sentence 1: begins with a small letter)"]
+    refused = {
+        "no check": derivation(checks=[]), "not there": piece({"source": "S1", "text": "Both bells fell."}), "half a word": piece({"source": "S1", "text": "oth bells"}), "a marker": piece({"source": "S1", "text": "Nobody climbs it [GAP 3] today."}),
+        "a small letter": piece(part), "two contents": piece(part, part), "unknown source": piece({"source": "S9", "text": "x"}), "other verb": piece(part | {"ops": [{"op": "INFLECT", "kind": "agreement", "from": "ring", "to": "toll"}]}, deviation="x"),
+        "a loop": derivation(steps=[{"id": "A", "supports": "B", "status": "part", "why": "x"}, {"id": "B", "supports": "A", "status": "part", "why": "x"}]), "a step unsaid": derivation(sentences=derivation()["sentences"][:1]),
+        "a figure by model": derivation(ai_allowed="all", steps=[derivation()["steps"][0], derivation()["steps"][1], {"id": "C", "supports": "A", "status": "ai", "why": "x", "missing": "A → C", "text": "It has 9 bells."}]),
     }
-    out = synthesis.rendered(d)
-    assert out["synthesis"] == "Prices rose in 1990 [S1]." and out["references"] == "[S1] Lee, Book" and out["used_sentences"] == 1
-    with pytest.raises(synthesis.Refused):
-        synthesis.rendered(d | {"checks": []})
-    with pytest.raises(synthesis.Refused):
-        synthesis.rendered(json.loads(json.dumps(d).replace("As noted, prices rose in 1990.\", \"ops", "Prices fell.\", \"ops")))
-    rows = spark.createDataFrame([(json.dumps(d),), ("{}",), (None,), ("no json",)], "j string").select(synthesis.render_derivation("j").alias("r")).select("r.*").collect()
-    assert rows[0].refused is None and rows[1].refused and rows[2].synthesis is None and rows[2].refused is None and rows[3].refused
+    for name, d in refused.items():
+        with pytest.raises(derivations.Unlicensed):
+            derivations.render(d)
+            pytest.fail(name)
+    rows = spark.createDataFrame([(json.dumps(derivation()),), ("{}",), (None,), ("no json",)], "j string").select(derivations.render_derivation("j").alias("r")).select("r.*").collect()
+    assert rows[0].refused is None and "Every source has a check" not in rows[1].refused and "There are sources" in rows[1].refused and rows[2].synthesis is None and rows[2].refused is None and rows[3].refused
 
 
 def test_generations(spark, tmp_path):
