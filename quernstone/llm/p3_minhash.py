@@ -108,44 +108,35 @@ def slack_below(threshold: float, count: int, bits: int, errors: float) -> float
     return threshold - errors * (p * (1 - p) / count) ** 0.5 / (1 - chance)
 
 
-def _classes(texts: DataFrame, shingle: int, minimum: int, rows: int, bands: int, bits: int) -> DataFrame:
-    """``(chunk_id, class, signature)`` of each text of enough words; rows repeated in a batch are given once."""
-    schema = pa.schema([("chunk_id", pa.string()), ("class", pa.binary()), ("signature", pa.list_(pa.int64()))])
+def _sketched(texts: DataFrame, shingle: int, minimum: int, rows: int, bands: int, bits: int) -> DataFrame:
+    """``(chunk_id, member, signature, bands)`` of each text of enough words, in one pass over the texts.
+
+    ``member`` is the first 8 bytes of the class.  Rows repeated in a batch are given once, and of each class a batch holds
+    only one row has the packed signature and the band keys; the others have nulls there.
+    """
+    schema = pa.schema([("chunk_id", pa.string()), ("member", pa.int64()), ("signature", pa.list_(pa.int64())), ("bands", pa.list_(pa.int64()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sketcher = Sketcher(rows * bands)
         for b in batches:
-            ids, sets = b.column(0).to_pylist(), shingle_sets(b.column(1).to_pylist(), shingle, minimum)
-            done: set[tuple] = set()
-            minima: dict[bytes, np.ndarray] = {}
-            for i, s in zip(ids, sets, strict=True):
+            found: dict[tuple[str, int], bool] = {}
+            minima: dict[int, np.ndarray] = {}
+            for i, s in zip(b.column(0).to_pylist(), shingle_sets(b.column(1).to_pylist(), shingle, minimum), strict=True):
                 if s is not None:
-                    done.add((i, key := set_key(s)))
-                    if key not in minima:
-                        minima[key] = sketcher.minima(s)
-            signatures = dict(zip(minima, packed(np.stack(list(minima.values())), bits).tolist(), strict=True)) if minima else {}
-            columns = list(zip(*((i, key, signatures[key]) for i, key in done), strict=True)) or [(), (), ()]
+                    member = int.from_bytes(set_key(s)[:8], "little", signed=True)
+                    if (new := member not in minima):
+                        minima[member] = sketcher.minima(s)
+                    found[i, member] = new or found.get((i, member), False)
+            signatures, keys = [], []
+            if minima:
+                table = np.stack(list(minima.values()))
+                signatures, keys = packed(table, bits), band_keys(table, rows).view(np.int64)
+            place = {member: k for k, member in enumerate(minima)}
+            heads = [place[member] if first else None for (_, member), first in found.items()]
+            columns = [[i for i, _ in found], [member for _, member in found], [None if k is None else signatures[k] for k in heads], [None if k is None else keys[k] for k in heads]]
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
 
-    return texts.mapInArrow(run, "chunk_id string, class binary, signature array<long>")
-
-
-def _bands(texts: DataFrame, shingle: int, minimum: int, rows: int, bands: int) -> DataFrame:
-    """``(band, member)`` with the first 8 bytes of the class as member; classes repeated in a batch are given once."""
-    schema = pa.schema([("band", pa.int64()), ("member", pa.int64())])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sketcher = Sketcher(rows * bands)
-        for b in batches:
-            seen: dict[bytes, np.ndarray] = {}
-            for s in shingle_sets(b.column(1).to_pylist(), shingle, minimum):
-                if s is not None and (key := set_key(s)) not in seen:
-                    seen[key] = sketcher.minima(s)
-            keys = band_keys(np.stack(list(seen.values())), rows).ravel() if seen else np.empty(0, dtype=np.uint64)
-            members = np.repeat(np.frombuffer(b"".join(k[:8] for k in seen), dtype=np.int64), bands)
-            yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(members)], schema=schema)
-
-    return texts.mapInArrow(run, "band long, member long")
+    return texts.mapInArrow(run, "chunk_id string, member long, signature array<long>, bands array<long>")
 
 
 def _hot_pairs(rows: DataFrame, floor: float, count: int, bits: int) -> DataFrame:
@@ -210,9 +201,10 @@ def near_duplicates(texts: DataFrame, threshold: float = THRESHOLD, shingle: int
     count = rows * bands
     least = 2 * minimum - 1
     texts = texts.select("chunk_id", "contents").where(F.col("chunk_id").isNotNull() & (F.octet_length("contents") >= least))
-    members = cut(_classes(texts, shingle, minimum, rows, bands, bits).withColumn("member", _first_long("class")))
-    signs = members.groupBy("member").agg(F.first("signature").alias("signature"), F.min("chunk_id").alias("chunk_id"))
-    keyed = _bands(texts, shingle, minimum, rows, bands).repartition("band").dropDuplicates(["band", "member"])
+    sketched = cut(_sketched(texts, shingle, minimum, rows, bands, bits))
+    members, heads = sketched.select("chunk_id", "member"), sketched.where("signature IS NOT NULL")
+    signs = heads.groupBy("member").agg(F.first("signature").alias("signature"), F.min("chunk_id").alias("chunk_id"))
+    keyed = heads.select(F.explode("bands").alias("band"), "member").repartition("band").dropDuplicates(["band", "member"])
     shared = cut(keyed.withColumn("n", F.count(F.lit(1)).over(W.partitionBy("band"))).where("n > 1"))
     cool = shared.where(F.col("n") <= hot).select("band", "member")
     left, right = cool.select("band", F.col("member").alias("a")), cool.select("band", F.col("member").alias("b"))
@@ -247,12 +239,6 @@ def _own(bodies: DataFrame, shingle: int) -> DataFrame:
     return bodies.mapInArrow(run, bodies.schema)
 
 
-def _first_long(column: str) -> Column:
-    """The first 8 bytes, little end first, as a long."""
-    parts = F.concat(*[F.hex(F.substring(F.col(column), i, 1)) for i in range(8, 0, -1)])
-    return F.conv(parts, 16, -10).cast("long")
-
-
 def expanded(members: DataFrame, links: DataFrame, expand: int = EXPAND) -> DataFrame:
     """Pairs ``(chunk_id_a, chunk_id_b)``, the smaller id first, from classes and their links.
 
