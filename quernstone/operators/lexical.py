@@ -165,16 +165,24 @@ def gated(ranking: DataFrame, chunks: DataFrame, queries: DataFrame, depth: int,
     return judged.select("query_id", "chunk_id", "source_id", "document_id", "score", "rank", "gate", F.when(accepted, F.col("before") + 1).alias("place"))
 
 
-def feedback_terms(leaders: DataFrame, index: Index, queries: DataFrame, documents: int = 5, terms: int = 8) -> DataFrame:
+def gate_frequencies(texts: DataFrame, wanted: DataFrame) -> DataFrame:
+    """``(term, df)``: in how many texts each wanted term is a gate token; tokens of no wanted term leave before the shuffle where the wish is small."""
+    held = texts.where("contents IS NOT NULL").select(F.explode(gate_tokens(F.col("contents"))).alias("term"))
+    return held.join(wanted.select("term").distinct(), "term", "left_semi").groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+
+
+def feedback_terms(leaders: DataFrame, texts: DataFrame, queries: DataFrame, documents: int = 5, terms: int = 8) -> DataFrame:
     """``(query_id, term, support, place)``: terms mined from the first ``documents`` accepted chunks ``(query_id, contents, place)``.
 
     Support is the number of leaders holding the term; terms of the query itself are left out; order is
-    support x idf, then support, then the term.  ``idf`` is ln((N + 1) / (df + 1)) + 1 over gate tokens.
+    support x idf, then support, then the term.  ``idf`` is ln((N + 1) / (df + 1)) + 1 over the gate
+    tokens of all ``texts`` (chunk_id, contents), of which there are N.
     """
     own = queries.select("query_id", F.explode(gate_tokens(F.col("query"))).alias("term"))
     found = leaders.where(F.col("place") <= documents).select("query_id", F.explode(gate_tokens(F.col("contents"))).alias("term")).join(own, ["query_id", "term"], "left_anti")
-    support = found.groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("support"))
-    scored = support.join(index.terms.select("term", "df"), "term", "left").join(F.broadcast(index.totals.select("n")), how="cross")
+    support = cut(found.groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("support")))
+    total = texts.agg(F.count_distinct("chunk_id").alias("n"))  # one row
+    scored = support.join(gate_frequencies(texts, support), "term", "left").join(F.broadcast(total), how="cross")
     weight = F.round(F.col("support") * (F.log((F.col("n") + 1) / (F.coalesce("df", F.lit(0)) + 1)) + 1), 9)
     order = W.partitionBy("query_id").orderBy(weight.desc(), F.col("support").desc(), "term")
     return scored.withColumn("place", F.row_number().over(order)).where(F.col("place") <= terms).select("query_id", "term", "support", "place")

@@ -34,8 +34,9 @@ def q_filter_include_exclude(spark: SparkSession, d: str) -> DataFrame:
 
 
 def q_filter_unknown_ids(spark: SparkSession, d: str) -> DataFrame:
-    """Served sources that no document has."""
-    return k.unknown_ids(c.appearances(spark, d), c.documents(spark, d, "source_id"), "source_id")
+    """What is asked for as source ids and is none: the ids of served sources, and of the documents they were served from."""
+    served = c.chunks(spark, d, "document_id").join(c.appearances(spark, d).select("chunk_id").distinct(), "chunk_id", "left_semi").select(F.col("document_id").alias("source_id"))
+    return k.unknown_ids(c.appearances(spark, d).select("source_id").union(served), c.documents(spark, d, "source_id"), "source_id")
 
 
 def q_metadata_overlay(spark: SparkSession, d: str) -> DataFrame:
@@ -121,7 +122,11 @@ def q_leaderboard_passages(spark: SparkSession, d: str) -> DataFrame:
 
 
 def q_unreached_sources(spark: SparkSession, d: str) -> DataFrame:
-    return c.documents(spark, d, "source_id").select("source_id").distinct().join(c.appearances(spark, d).select("source_id").distinct(), "source_id", "left_anti")
+    """Sources that no search of the last thirty days of the log served."""
+    log = c.searches(spark, d).where("searched_at IS NOT NULL").select("search_id", "searched_at")
+    recent = log.join(F.broadcast(log.agg(F.max("searched_at").alias("last"))), how="cross").where("searched_at > last - INTERVAL 30 DAYS").select("search_id")  # one row
+    reached = c.appearances(spark, d).join(recent, "search_id", "left_semi").select("source_id").distinct()
+    return c.documents(spark, d, "source_id").select("source_id").where("source_id IS NOT NULL").distinct().join(reached, "source_id", "left_anti")
 
 
 def q_search_history(spark: SparkSession, d: str) -> DataFrame:
@@ -178,12 +183,12 @@ ORACLES = {
     "filter_all_of": f"SELECT document_id FROM {_D} WHERE list_contains(list_transform(keywords, lambda x: lower(trim(x))), 'meadow')",
     "filter_substring": f"SELECT document_id FROM {_D} WHERE len(list_filter(authors, lambda x: contains(lower(x), 'kr') OR contains(lower(x), 'vel'))) > 0 AND (contains(lower(title), 'the') OR contains(lower(title), 'und'))",
     "filter_include_exclude": f"SELECT chunk_id FROM {_C} WHERE source_id IN (SELECT source_id FROM ({_BOARD}) ORDER BY top_five DESC, rank_one DESC, source_id LIMIT 10) AND document_id NOT IN (SELECT document_id FROM {_D} WHERE list_contains(languages, 'fr'))",
-    "filter_unknown_ids": f"SELECT DISTINCT source_id FROM {_A} WHERE source_id IS NOT NULL AND source_id NOT IN (SELECT source_id FROM source_documents)",
+    "filter_unknown_ids": f"SELECT DISTINCT source_id FROM (SELECT source_id FROM {_A} UNION ALL SELECT document_id FROM {_C} WHERE chunk_id IN (SELECT chunk_id FROM appearances)) WHERE source_id IS NOT NULL AND source_id NOT IN (SELECT source_id FROM source_documents WHERE source_id IS NOT NULL)",
     "metadata_overlay": f"SELECT document_id, CASE WHEN document_id LIKE '%10' THEN 'Reviewed' ELSE title END AS title, CASE WHEN document_id LIKE '%0' THEN '' ELSE array_to_string(authors, ';') END AS authors, CASE WHEN document_id LIKE '%10' THEN 'title,authors' WHEN document_id LIKE '%0' THEN 'authors' ELSE '' END AS overridden FROM {_D}",
     "value_inventory": f"SELECT value, arg_min(trim(shown), (document_id, pos)) AS display, count(DISTINCT document_id) AS documents FROM (SELECT document_id, unnest(keywords) AS shown, generate_subscripts(keywords, 1) - 1 AS pos, lower(trim(unnest(keywords))) AS value FROM {_D}) WHERE value <> '' GROUP BY value",
-    "staleness_diff": f"""WITH d AS (SELECT DISTINCT source_id, document_id, size_bytes, modified_at, sha256 FROM source_documents),
-now_ AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY source_id ORDER BY modified_at DESC NULLS LAST, document_id DESC) AS r FROM d) WHERE r = 1 AND source_id < 'src_e'),
-old_ AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY source_id ORDER BY modified_at ASC NULLS FIRST, document_id) AS r FROM d) WHERE r = 1 AND source_id >= 'src_1'),
+    "staleness_diff": f"""WITH d AS (SELECT DISTINCT source_id, document_id, size_bytes, modified_at, sha256 FROM source_documents WHERE source_id IS NOT NULL),
+now_ AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY source_id ORDER BY modified_at DESC NULLS LAST, document_id DESC) AS r FROM d) WHERE r = 1),
+old_ AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY source_id ORDER BY modified_at ASC NULLS FIRST, document_id) AS r FROM d) WHERE r = 1),
 b AS (SELECT coalesce(n.source_id, o.source_id) AS source_id, CASE WHEN o.source_id IS NULL THEN 'added' WHEN n.source_id IS NULL THEN 'removed'
   WHEN n.size_bytes <> o.size_bytes OR (n.modified_at IS DISTINCT FROM o.modified_at AND n.sha256 IS DISTINCT FROM o.sha256) THEN 'modified' END AS change FROM now_ n FULL JOIN old_ o ON n.source_id = o.source_id)
 SELECT * FROM b WHERE change IS NOT NULL""",
@@ -204,7 +209,7 @@ SELECT any_value(n) AS n, round(median(elapsed_ms), 1) AS median_ms, round(max(e
     "searches_by_day": f"SELECT strftime(searched_at, '%Y-%m-%d') AS day, count(*) AS searches FROM {_S} WHERE searched_at IS NOT NULL GROUP BY 1",
     "leaderboard_sources": _BOARD,
     "leaderboard_passages": f"SELECT chunk_id, count(*) AS top_five, count(*) FILTER (WHERE rank = 1) AS rank_one, min(source_id) AS a_source FROM {_A} WHERE chunk_id IS NOT NULL AND rank <= 5 GROUP BY 1 ORDER BY 2 DESC, 3 DESC, 1 LIMIT 100",
-    "unreached_sources": "SELECT DISTINCT source_id FROM source_documents WHERE source_id NOT IN (SELECT source_id FROM appearances WHERE source_id IS NOT NULL)",
+    "unreached_sources": f"SELECT DISTINCT source_id FROM source_documents WHERE source_id IS NOT NULL AND source_id NOT IN (SELECT source_id FROM appearances WHERE source_id IS NOT NULL AND search_id IN (SELECT search_id FROM {_S} WHERE searched_at > (SELECT max(searched_at) FROM search_log) - INTERVAL 30 DAY))",
     "search_history": f"SELECT search_id, query_text, filters::JSON ->> '$.languages_any[0]' AS language, {_CALLER} AS caller FROM {_S} WHERE query_text IS NOT NULL AND searched_at IS NOT NULL ORDER BY searched_at DESC, search_id DESC LIMIT 200",
     "caller_classes": f"SELECT {_CALLER} AS caller, count(*) AS searches, round(avg(elapsed_ms), 3) AS mean_ms FROM {_S} GROUP BY 1",
     "usage_buckets": f"""WITH s AS (SELECT searched_at::DATE AS day FROM {_S} WHERE searched_at IS NOT NULL), span AS (SELECT min(day) AS lo, max(day) AS hi, max(day) - min(day) AS days FROM s),

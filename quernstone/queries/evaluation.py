@@ -85,11 +85,12 @@ def q_content_overlap(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _slots(spark: SparkSession, d: str) -> DataFrame:
-    return c.appearances(spark, d).select("search_id", "chunk_id").distinct().join(c.chunks(spark, d, "contents", "source_id"), "chunk_id")
+    """The candidates of each search with their texts: what is served is picked from them, freed of most repetitions."""
+    return c.hits(spark, d).select("search_id", "chunk_id").distinct().join(c.chunks(spark, d, "contents", "source_id"), "chunk_id")
 
 
 def q_shingle_containment(spark: SparkSession, d: str) -> DataFrame:
-    """Served passages contained in another passage of the same answer."""
+    """Candidates contained in another candidate of the same search."""
     return e.contained_repetitions(_slots(spark, d), "search_id")
 
 
@@ -98,9 +99,9 @@ def q_protected_signature(spark: SparkSession, d: str) -> DataFrame:
 
 
 def q_exact_duplicate_slots(spark: SparkSession, d: str) -> DataFrame:
-    """Answers in which a text, white space aside, came out more than once."""
+    """Texts, white space aside, that are candidates of the recorded searches under several chunk ids."""
     text = F.trim(F.regexp_replace("contents", r"\s+", " "))
-    return _slots(spark, d).groupBy("search_id", F.sha2(text, 256).alias("text_sha256")).agg(F.count(F.lit(1)).alias("copies"), F.count_distinct("source_id").alias("sources")).where("copies > 1")
+    return _slots(spark, d).groupBy(F.sha2(text, 256).alias("text_sha256")).agg(F.count_distinct("chunk_id").alias("copies"), F.count_distinct("source_id").alias("sources"), F.count_distinct("search_id").alias("searches")).where("copies > 1")
 
 
 def q_repetition_rates(spark: SparkSession, d: str) -> DataFrame:
@@ -183,7 +184,7 @@ _STOP = "(" + ", ".join(f"'{w}'" for w in STOPWORDS) + ")"
 _NEG = "(" + ", ".join(f"'{w}'" for w in e.NEGATIONS) + ")"
 _TOK = "list_distinct(list_filter(regexp_extract_all(lower({0}), '[a-z0-9]+'), lambda t: length(t) >= 3 AND t NOT IN " + _STOP + "))"
 _SIG = "array_to_string(regexp_extract_all(contents, '[0-9]+(?:[.,][0-9]+)*%?'), ' ') || '|' || array_to_string(list_filter(regexp_extract_all(contents, '[+*/=<>≤≥±×÷-]+'), lambda r: NOT regexp_full_match(r, '-+')), ' ') || '|' || array_to_string(list_sort(list_distinct(list_filter(regexp_extract_all(lower(contents), '[\\p{L}\\p{N}_]+'), lambda w: w IN " + _NEG + " OR starts_with(w, 'un') OR starts_with(w, 'non')))), ' ')"
-_SLOTS = f"(SELECT DISTINCT a.search_id, a.chunk_id, k.contents, k.source_id FROM appearances a JOIN {c.CHUNKS_SQL} k USING (chunk_id))"
+_SLOTS = f"(SELECT DISTINCT a.search_id, a.chunk_id, k.contents, k.source_id FROM {c.HITS_SQL} a JOIN {c.CHUNKS_SQL} k USING (chunk_id))"
 
 QUERIES = {n[2:]: f for n, f in list(globals().items()) if n.startswith("q_")}
 ORACLES = {
@@ -201,14 +202,14 @@ SELECT caller, any_value(n) AS n, max(ratio) FILTER (WHERE r = greatest(ceil(0.5
     "shingle_containment": f"""WITH b AS (SELECT search_id, chunk_id, {_SIG} AS sig, regexp_extract_all(contents, '[\\p{{L}}\\p{{N}}_]+') AS w FROM {_SLOTS}),
 s AS (SELECT search_id, chunk_id, sig, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 2 THEN [w[1]] ELSE list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) END AS s FROM b)
 SELECT a.search_id, a.chunk_id, min(o.chunk_id) AS contained_in FROM s a JOIN s o ON a.search_id = o.search_id AND a.sig = o.sig AND a.chunk_id <> o.chunk_id WHERE len(a.s) > 0 AND len(list_intersect(a.s, o.s)) >= 0.9 * len(a.s) GROUP BY 1, 2""",
-    "exact_duplicate_slots": f"SELECT search_id, sha256(trim(regexp_replace(contents, '\\s+', ' ', 'g'))) AS text_sha256, count(*) AS copies, count(DISTINCT source_id) AS sources FROM {_SLOTS} GROUP BY 1, 2 HAVING count(*) > 1",
+    "exact_duplicate_slots": f"SELECT sha256(trim(regexp_replace(contents, '\\s+', ' ', 'g'))) AS text_sha256, count(DISTINCT chunk_id) AS copies, count(DISTINCT source_id) AS sources, count(DISTINCT search_id) AS searches FROM {_SLOTS} GROUP BY 1 HAVING count(DISTINCT chunk_id) > 1",
     "repetition_rates": f"WITH p AS (SELECT chunk_id, count(*) AS n, count(DISTINCT generation_id) AS g FROM (SELECT DISTINCT search_id, chunk_id FROM appearances) JOIN {c.SEARCHES_SQL} USING (search_id) GROUP BY 1) SELECT sum(n) AS slots, round(sum(CASE WHEN n > 1 THEN n ELSE 0 END) / sum(n), 6) AS over_searches, round(sum(CASE WHEN g > 1 THEN n ELSE 0 END) / sum(n), 6) AS over_generations FROM p",
     "score_distribution": f"SELECT component, count(*) AS n, round(min(score), 6) AS least, round(median(score), 6) AS median, round(max(score), 6) AS most, round(avg((score >= 0.7 AND score <= 0.9)::INT), 6) AS in_band FROM {c.HITS_SQL} GROUP BY 1",
     "stage_presence": _R + """, target AS (SELECT search_id AS query_id, min(chunk_id) AS chunk_id FROM appearances WHERE rank = 1 GROUP BY 1)
 SELECT query_id, CASE WHEN bool_or(condition = 'bm25') THEN bool_or(condition = 'bm25' AND r.chunk_id = t.chunk_id) END AS bm25, CASE WHEN bool_or(condition = 'dense') THEN bool_or(condition = 'dense' AND r.chunk_id = t.chunk_id) END AS dense, CASE WHEN bool_or(condition = 'rerank') THEN bool_or(condition = 'rerank' AND r.chunk_id = t.chunk_id) END AS rerank FROM target t JOIN r USING (query_id) GROUP BY 1""",
     "question_families": """WITH RECURSIVE i AS (SELECT DISTINCT item_id, target_id, locator_text FROM eval_items), e AS (SELECT a.item_id AS x, b.item_id AS y FROM i a JOIN i b ON a.target_id = b.target_id OR a.locator_text = b.locator_text),
 w AS (SELECT item_id AS x, item_id AS y FROM i UNION SELECT w.x, e.y FROM w JOIN e ON w.y = e.x) SELECT x AS item_id, min(y) AS family FROM w GROUP BY 1""",
-    "target_resolution": """WITH w AS (SELECT DISTINCT item_id, regexp_extract_all(lower(item_text), '[\\p{L}\\p{N}]+') AS w FROM eval_items), i AS (SELECT item_id, array_to_string(w[1:8], ' ') AS run FROM w WHERE len(w) >= 8),
-t AS (SELECT doc_id, ' ' || array_to_string(regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+'), ' ') || ' ' AS t FROM documents WHERE text IS NOT NULL)
-SELECT item_id, CASE count(DISTINCT doc_id) WHEN 0 THEN 'none' WHEN 1 THEN 'unique' ELSE 'several' END AS resolution, count(DISTINCT doc_id) AS documents FROM i LEFT JOIN t ON contains(t.t, ' ' || i.run || ' ') GROUP BY 1""",
+    "target_resolution": """WITH i AS (SELECT DISTINCT item_id, array_to_string(regexp_extract_all(lower(item_text), '[\\p{L}\\p{N}]+'), ' ') AS run FROM eval_items WHERE item_id IS NOT NULL),
+t AS (SELECT doc_id, ' ' || array_to_string(regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+'), ' ') || ' ' AS t FROM documents WHERE text IS NOT NULL AND doc_id IS NOT NULL)
+SELECT item_id, CASE count(DISTINCT doc_id) WHEN 0 THEN 'none' WHEN 1 THEN 'unique' ELSE 'several' END AS resolution, count(DISTINCT doc_id) AS documents FROM i LEFT JOIN t ON i.run <> '' AND contains(t.t, ' ' || i.run || ' ') GROUP BY 1""",
 }

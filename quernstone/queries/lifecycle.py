@@ -35,7 +35,7 @@ _SPACE = r"[\s\x{1C}-\x{1F}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}
 def q_render_derivation(spark: SparkSession, d: str) -> DataFrame:
     """A derivation for every chunk served first: its first sentence without its first word, as a stated fragment, and a gap.
 
-    A text without a sentence, or a sentence without a word, is refused.
+    A text without a sentence, or a sentence of one word, is refused.
     """
     served = c.appearances(spark, d).where("rank = 1").select("chunk_id").distinct()
     rows = c.chunks(spark, d, "contents").join(served, "chunk_id").withColumn("text", F.trim(F.regexp_replace("contents", _SPACE, " ")))
@@ -66,5 +66,5 @@ UNION ALL SELECT 'vectors not finite', count(*) FROM (SELECT vec_id, any_value(v
 f AS (SELECT chunk_id, regexp_extract(t, '^(.*?[.?!])(?:\\s|$)', 1) AS f FROM t), w AS (SELECT *, regexp_extract(f, '[\\p{{L}}\\p{{N}}_]+') AS w FROM f),
 r AS (SELECT chunk_id, f, w, trim(regexp_replace(left(f, strpos(f, w) - 1) || CASE WHEN substr(f, strpos(f, w) - 1, 1) = ' ' AND strpos(f, w) > 1 OR substr(f, strpos(f, w) + length(w), 1) = ' ' THEN ' ' ELSE '' END || substr(f, strpos(f, w) + length(w)), ' +', ' ', 'g')) AS r FROM w),
 p AS (SELECT *, regexp_extract(r, '^[^\\p{{L}}]*') AS p FROM r), l AS (SELECT *, p || lower(substr(r, length(p) + 1, 1)) || substr(r, length(p) + 2) AS l FROM p)
-SELECT chunk_id, CASE WHEN w <> '' THEN left(l, length(l) - 1) || ' [S1]' || right(l, 1) || ' ⟦GAP: A → B⟧' END AS synthesis, coalesce(w, '') = '' AS refused FROM l""",
+SELECT chunk_id, CASE WHEN regexp_matches(l, '\\p{{L}}') THEN left(l, length(l) - 1) || ' [S1]' || right(l, 1) || ' ⟦GAP: A → B⟧' END AS synthesis, NOT regexp_matches(l, '\\p{{L}}') AS refused FROM l""",
 }

@@ -29,12 +29,16 @@ def _ranking(spark: SparkSession, d: str, k: int) -> DataFrame:
     return lexical.bm25_top_k(_index(spark, d), c.text_queries(spark, d), k)
 
 
+def _facts(spark: SparkSession, d: str) -> DataFrame:
+    return c.chunks(spark, d, "source_id", "document_id", "contents", "health_flags")
+
+
 def q_bm25_topk(spark: SparkSession, d: str) -> DataFrame:
     return _ranking(spark, d, TOP_K).select("query_id", "chunk_id", F.round("score", 6).alias("score"), "rank")
 
 
 def _gated(spark: SparkSession, d: str, passes: Column | None = None) -> DataFrame:
-    facts = c.chunks(spark, d, "source_id", "document_id", "contents", "health_flags")
+    facts = _facts(spark, d)
     if passes is not None:
         facts = facts.join(c.documents(spark, d, "languages"), "document_id", "left")
     return lexical.gated(_ranking(spark, d, 200), facts, c.text_queries(spark, d), DEPTH, passes)
@@ -51,16 +55,23 @@ def q_bm25_window_filtered(spark: SparkSession, d: str) -> DataFrame:
 
 
 def q_prf_terms(spark: SparkSession, d: str) -> DataFrame:
-    index, queries = _index(spark, d), c.text_queries(spark, d)
-    leaders = _gated(spark, d).where("gate IS NULL AND place <= 5").select("query_id", "chunk_id", "place").join(c.chunks(spark, d, "contents"), "chunk_id")
-    return lexical.feedback_terms(leaders, index, queries)
+    return _mined(spark, d, _index(spark, d))
+
+
+def _mined(spark: SparkSession, d: str, index: lexical.Index) -> DataFrame:
+    queries, texts = c.text_queries(spark, d), c.chunks(spark, d, "contents")
+    first = lexical.gated(lexical.bm25_top_k(index, queries, 200), _facts(spark, d), queries, DEPTH)
+    leaders = first.where("gate IS NULL AND place <= 5").select("query_id", "chunk_id", "place").join(texts, "chunk_id")
+    return lexical.feedback_terms(leaders, texts, queries)
 
 
 def q_bm25_with_feedback(spark: SparkSession, d: str) -> DataFrame:
-    """The second pass: each query with its mined terms, ranked again."""
-    terms = q_prf_terms(spark, d).groupBy("query_id").agg(F.array_sort(F.collect_list("term")).alias("more"))  # at most eight
+    """The second pass: each query with its mined terms, ranked and gated again; one index serves both passes."""
+    index = _index(spark, d)
+    terms = _mined(spark, d, index).groupBy("query_id").agg(F.array_sort(F.collect_list("term")).alias("more"))  # at most eight
     queries = c.text_queries(spark, d).join(terms, "query_id", "left").select("query_id", F.concat_ws(" ", "query", F.array_join(F.coalesce("more", F.array().cast("array<string>")), " ")).alias("query"))
-    return lexical.bm25_top_k(_index(spark, d), queries, TOP_K).select("query_id", "chunk_id", F.round("score", 6).alias("score"), "rank")
+    second = lexical.gated(lexical.bm25_top_k(index, queries, 200), _facts(spark, d), queries, DEPTH)
+    return second.where(F.col("place") <= TOP_K).select("query_id", "chunk_id", F.round("score", 6).alias("score"), "rank", F.col("place").cast("int").alias("place"))
 
 
 def _vectors(spark: SparkSession, d: str) -> DataFrame:
@@ -209,8 +220,17 @@ _PRF = _PLAIN + f"""
 , lead AS (SELECT query_id, unnest({gate_tokens_sql("contents")}) AS term FROM looked JOIN (SELECT chunk_id, contents FROM c) USING (chunk_id) WHERE place <= 5),
 own AS (SELECT query_id, unnest({gate_tokens_sql("query")}) AS term FROM q),
 support AS (SELECT query_id, term, count(*) AS support FROM lead ANTI JOIN own USING (query_id, term) GROUP BY 1, 2),
+frequent AS (SELECT term, count(*) AS df FROM (SELECT unnest({gate_tokens_sql("contents")}) AS term FROM (SELECT DISTINCT chunk_id, contents FROM c)) GROUP BY 1),
 mined AS (SELECT query_id, term, support, row_number() OVER (PARTITION BY query_id ORDER BY round(support * (ln((n + 1) / (coalesce(df, 0) + 1)) + 1), 9) DESC, support DESC, term) AS place
-  FROM support LEFT JOIN terms USING (term), tot)
+  FROM support LEFT JOIN frequent USING (term), (SELECT count(DISTINCT chunk_id) AS n FROM c))
+"""
+_SECOND = _PRF + f"""
+, q2 AS (SELECT query_id, concat_ws(' ', query, more) AS query FROM q LEFT JOIN (SELECT query_id, string_agg(term, ' ' ORDER BY term) AS more FROM mined WHERE place <= 8 GROUP BY 1) USING (query_id)),
+qt2 AS (SELECT query_id, term, count(*) AS qf FROM (SELECT query_id, unnest({index_tokens_sql("query")}) AS term FROM q2) GROUP BY ALL),
+scores2 AS (SELECT query_id, chunk_id, round(sum(qf * idf * tf / (tf + 1.5e0 * (0.25e0 + 0.75e0 * dl / avgdl))), 9) AS score FROM qt2 JOIN terms USING (term) JOIN post USING (term), tot GROUP BY 1, 2),
+ranked2 AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM scores2),
+accepted2 AS (SELECT r.*, row_number() OVER (PARTITION BY query_id ORDER BY rank) AS place FROM ranked2 r JOIN c USING (chunk_id) JOIN q2 USING (query_id)
+  WHERE rank <= 80 AND coalesce(c.health_flags, 0) & 3 = 0 AND list_has_any({gate_tokens_sql("q2.query")}, {gate_tokens_sql("c.contents")}))
 """
 
 _V = "(SELECT DISTINCT vec_id, chunk_id, embedding_model AS kind, vector FROM reuse_vectors WHERE vector IS NOT NULL AND embedding_model IS NOT NULL AND chunk_id IS NOT NULL AND len(list_filter(vector, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0 AND len(list_filter(vector, lambda x: x <> 0)) > 0)"
@@ -255,6 +275,7 @@ ORACLES = {
     "bm25_gated": _PLAIN + "SELECT query_id, coalesce(gate, 'accepted') AS gate, count(*) AS n FROM looked GROUP BY 1, 2",
     "bm25_window_filtered": _gated_sql("coalesce(list_has_any(d.languages, ['fr', 'de']), NULL)", 200) + "SELECT query_id, chunk_id, rank, place FROM looked WHERE gate IS NULL",
     "prf_terms": _PRF + "SELECT query_id, term, support, place FROM mined WHERE place <= 8",
+    "bm25_with_feedback": _SECOND + "SELECT query_id, chunk_id, round(score, 6) AS score, rank, place FROM accepted2 WHERE place <= 10",
     "dense_exact_topk": _dense_sql(""),
     "dense_filtered_topk": _dense_sql("AND b.chunk_id IN (SELECT chunk_id FROM chunks WHERE document_id IN (SELECT document_id FROM source_documents WHERE list_contains(languages, 'fr')))"),
     "dense_gate": _GATE + "SELECT query_id, chunk_id, round(score, 6) AS score, round(effective_floor, 6) AS effective_floor, score >= effective_floor AS admitted FROM gate",
@@ -264,6 +285,9 @@ ORACLES = {
     "relevance_normalised": _GATE + "SELECT query_id, chunk_id, round(relevance, 6) AS relevance FROM relevant",
     "source_diverse_topk": _GATE + "SELECT query_id, chunk_id, source_id, position, selected_rank FROM diverse WHERE selected_rank <= 10",
     "search_hybrid": _HYBRID + f"SELECT query_id, selected_rank, v.chunk_id, v.source_id, match_kind, round(fusion_score, 6) AS fusion_score, {_CITED} AS citation FROM diverse v JOIN c USING (chunk_id) LEFT JOIN d ON d.document_id = c.document_id WHERE selected_rank <= 10",
+    "reranked_search": _GATE + f""", t AS (SELECT query_id, {gate_tokens_sql("query")} AS asked FROM {c.QUERIES_SQL}), k AS (SELECT chunk_id, {gate_tokens_sql("contents")} AS held FROM c),
+b AS (SELECT query_id, chunk_id, position, round(CASE WHEN len(asked) > 0 THEN len(list_intersect(asked, held)) / len(asked) ELSE 0 END, 6) AS rerank_score FROM fused JOIN k USING (chunk_id) JOIN t USING (query_id))
+SELECT *, position <= 20 AS in_window, row_number() OVER (PARTITION BY query_id ORDER BY position <= 20 DESC, CASE WHEN position <= 20 THEN rerank_score END DESC NULLS LAST, position, chunk_id) AS rerank_position FROM b""",
     "search_trace": _TRACED,
     "equality_key_groups": f"SELECT sha256(array_to_string(regexp_extract_all(lower(contents), '[\\p{{L}}\\p{{N}}]+'), ' ')) AS key_sha256, count(*) AS copies, count(DISTINCT source_id) AS sources, min(chunk_id) AS first_chunk_id FROM {c.CHUNKS_SQL} GROUP BY 1 HAVING count(*) > 1",
 }

@@ -179,6 +179,9 @@ s AS (SELECT *, sum((NOT fits)::INT) OVER w AS sec, lead(fits) OVER w AS confirm
 o AS (SELECT *, max(h) OVER (PARTITION BY document_id, sec) AS opener FROM s), r AS (SELECT *, CASE WHEN fits AND opener IS NOT NULL THEN kind WHEN h IS NOT NULL AND coalesce(confirmed, false) THEN h END AS removed FROM o)
 SELECT document_id, removed, count(*) AS paragraphs, sum(length(paragraph)) AS characters FROM r WHERE removed IS NOT NULL GROUP BY 1, 2""",
     "apparatus_kind": f"SELECT * FROM {_APPARATUS} WHERE kind IS NOT NULL",
+    "chunk_health": f"""WITH x AS (SELECT chunk_id, unit_id, contents, health_flags, len(regexp_extract_all(contents, chr(65533))) AS lost, len(regexp_extract_all(contents, '[\\x{{E000}}-\\x{{F01F}}\\x{{F100}}-\\x{{F8E4}}]')) AS private, regexp_matches(contents, {_re(q.MOJIBAKE)}) AS garbled FROM (SELECT DISTINCT chunk_id, unit_id, contents, health_flags FROM chunks))
+SELECT x.chunk_id, (coalesce((lost >= 2 OR lost = 1 AND (private > 0 OR garbled) OR private >= 2 OR private = 1 AND lost > 0 OR garbled)::INT, 0) + 2 * coalesce((coalesce(list_contains(quality_flags, 'extraction_artifact'), false) OR NOT regexp_matches(contents, '[\\p{{L}}\\p{{N}}]'))::INT, 0) + 4 * (kind IS NOT NULL)::INT)::INT AS computed, health_flags
+FROM x LEFT JOIN (SELECT DISTINCT unit_id, quality_flags FROM units) u USING (unit_id) LEFT JOIN (SELECT DISTINCT * FROM {_APPARATUS} WHERE kind IS NOT NULL) a ON a.chunk_id = x.chunk_id""",
     "citation_marks": f"SELECT citation, count(*) AS chunks FROM (SELECT chunk_id, unnest(list_distinct(regexp_extract_all(contents, {_re(q.CITATION)}))) AS citation FROM {c.CHUNKS_SQL}) GROUP BY 1",
     "source_health": "SELECT document_id, CASE WHEN k + l = 0 THEN 'empty' WHEN l > 0.5 * (k + l) AND k + l >= 500 THEN 'mostly_removed' WHEN k < 0.1 * (k + l) THEN 'little_retained' WHEN l > 0.02 * (k + l) THEN 'over_budget' ELSE 'sound' END AS verdict FROM (SELECT DISTINCT document_id, substantive_character_count AS k, discarded_corrupt_character_count AS l FROM source_documents WHERE substantive_character_count IS NOT NULL)",
     "section_context": f"SELECT chunk_id, section FROM (SELECT chunk_id, last_value({_HEADING} IGNORE NULLS) OVER (PARTITION BY document_id ORDER BY document_chunk_index, chunk_id) AS section FROM (SELECT *, trim(string_split(contents, chr(10))[1]) AS paragraph FROM {c.CHUNKS_SQL} WHERE document_id IS NOT NULL)) WHERE section IS NOT NULL",
