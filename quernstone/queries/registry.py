@@ -1,8 +1,8 @@
 """All queries of the core."""
 
-from quernstone.queries import catalogue, evaluation, lifecycle, search, texts
+from quernstone.queries import catalogue, evaluation, lifecycle, policies, search, texts
 
-MODULES = (search, catalogue, evaluation, texts, lifecycle)
+MODULES = (search, catalogue, evaluation, texts, lifecycle, policies)
 
 
 def queries() -> dict:
