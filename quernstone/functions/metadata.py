@@ -58,3 +58,45 @@ def chunk_header(title: Column, section: Column) -> Column:
     """``title — section``, one of them where the other is missing or the same."""
     t, s = F.nullif(F.trim(title), F.lit("")), F.nullif(F.trim(section), F.lit(""))
     return F.when(F.lower(t) == F.lower(s), t).otherwise(F.concat_ws(" — ", t, s))
+
+
+def distinct_ignoring_case(values: Column) -> Column:
+    """The values of an array in order, trimmed, without empty ones and later spellings of the same."""
+    clean = F.filter(F.transform(values, lambda x: F.trim(F.regexp_replace(x, r"[ \t\n\r\f]+", " "))), lambda x: x != "")
+    lowered = F.transform(clean, F.lower)
+    return F.filter(clean, lambda x, i: F.array_position(lowered, F.lower(x)) == i + 1)
+
+
+def identifiers(values: Column) -> Column:
+    """An array of ids trimmed, without empty ones and repeats, in order; empty for null."""
+    return F.array_distinct(F.filter(F.transform(F.coalesce(values, F.array().cast("array<string>")), F.trim), lambda x: x != ""))
+
+
+def file_stem(path: Column) -> Column:
+    """The file name without folders and its ending."""
+    return F.regexp_extract(path, r"([^/]+?)(?:\.[A-Za-z0-9]+)?$", 1)
+
+
+def valid_authors(authors: Column) -> Column:
+    """Names of two letters and more without digits, at-signs and signs of damage, each once; empty for null."""
+    names = distinct_ignoring_case(F.coalesce(authors, F.array().cast("array<string>")))
+    return F.filter(names, lambda x: x.rlike(r"\p{L}.*\p{L}") & ~x.rlike(r"[0-9@\x{FFFD}]|[ÃÂ][\x{80}-\x{BF}]|â€"))
+
+
+def identity(embedded: Column, visible: Column, path: Column) -> Column:
+    """``struct(title, provenance, conflict)``: the embedded title if valid, else the visible heading, else the file's name.
+
+    Two valid titles that differ beyond case are in conflict.
+    """
+    inside, shown = F.when(valid_title(embedded), F.trim(embedded)), F.when(valid_title(visible), F.trim(visible))
+    provenance = F.when(inside.isNotNull(), "embedded").when(shown.isNotNull(), "visible").otherwise("filename")
+    conflict = F.coalesce(F.lower(inside) != F.lower(shown), F.lit(False))
+    return F.struct(F.coalesce(inside, shown, file_stem(path)).alias("title"), provenance.alias("provenance"), conflict.alias("conflict"))
+
+
+def metadata_warnings(provenance: Column, conflict: Column, authors: Column, year: Column, languages: Column) -> Column:
+    """What is missing or doubtful of a document's metadata, in order."""
+    return F.array_compact(F.array(
+        F.when(provenance == "filename", "title_from_filename"), F.when(conflict, "conflicting_candidates"), F.when(F.size(authors) == 0, "authors_missing"),
+        F.when(year.isNull(), "year_missing"), F.when(F.size(languages) == 0, "languages_missing"),
+    ))

@@ -137,3 +137,37 @@ def contained_repetitions(slots: DataFrame, group: str, threshold: float = 0.9)
     return both.where(F.col("_k") >= threshold * F.col("_n")).groupBy(group, "chunk_id").agg(F.min("other").alias("contained_in"))
 
 
+
+
+def two_level_means(rows: DataFrame, metric: str, condition: str = "condition", family: str = "family") -> DataFrame:
+    """Per condition the mean of a metric over queries, and over the means of families, with how many of each had a value.
+
+    A null value is not evaluated and lowers no mean; a family all of whose queries are null is not evaluated.
+    """
+    per_family = rows.groupBy(condition, family).agg(F.avg(metric).alias("_m"), F.sum(metric).alias("_s"), F.count(metric).alias("_e"), F.count(F.lit(1)).alias("_n"))
+    return per_family.groupBy(condition).agg(
+        F.round(F.sum("_s") / F.sum("_e"), 6).alias("query_mean"), F.sum("_e").alias("queries_evaluated"), F.sum("_n").alias("queries"), F.round(F.avg("_m"), 6).alias("family_mean"), F.count("_m").alias("families_evaluated"), F.count(F.lit(1)).alias("families"))
+
+
+def handoff_violations(questions: DataFrame, judgments: DataFrame, rankings: DataFrame, grades: tuple[int, int] = (0, 4)) -> DataFrame:
+    """``(rule, n)``: how many rows of a handed-over evaluation break each rule; zeros are kept.
+
+    ``questions (query_id)``, ``judgments (query_id, chunk_id, grade)``, ``rankings (condition, query_id, chunk_id, score)``.
+    """
+    asked = questions.select("query_id").where("query_id IS NOT NULL").distinct()
+    low, high = grades
+    rules = {
+        "questions without an id": questions.where("query_id IS NULL"),
+        "judgments of no question": judgments.join(asked, "query_id", "left_anti"),
+        "judgments given twice": judgments.groupBy("query_id", "chunk_id").count().where("count > 1"),
+        "grades out of range": judgments.where(F.col("grade").isNull() | ~F.col("grade").between(low, high)),
+        "rankings of no question": rankings.join(asked, "query_id", "left_anti"),
+        "passages ranked twice": rankings.groupBy("condition", "query_id", "chunk_id").count().where("count > 1"),
+        "scores missing or not finite": rankings.where(F.col("score").isNull() | F.isnan("score") | (F.abs("score") == float("inf"))),
+        "questions without a judgment": asked.join(judgments.select("query_id"), "query_id", "left_anti"),
+    }
+    out = None
+    for rule, rows in rules.items():
+        part = rows.agg(F.lit(rule).alias("rule"), F.count(F.lit(1)).alias("n"))
+        out = part if out is None else out.unionByName(part)
+    return out
