@@ -69,7 +69,7 @@ def distinct_ignoring_case(values: Column) -> Column:
 
 def identifiers(values: Column) -> Column:
     """An array of ids trimmed, without empty ones and repeats, in order; empty for null."""
-    return F.array_distinct(F.filter(F.transform(F.coalesce(values, F.array().cast("array<string>")), F.trim), lambda x: x != ""))
+    return F.array_distinct(F.filter(F.transform(F.coalesce(values, F.array().cast("array<string>")), lambda x: F.trim(x)), lambda x: x != ""))
 
 
 def file_stem(path: Column) -> Column:
