@@ -27,6 +27,9 @@ BRANCHES = 12
 #: Queries that are compared with all rows to calibrate the leaf visits, and the recall wanted.
 CALIBRATION_QUERIES = 384
 WANTED_RECALL = 0.975
+#: Leaf visits that calibration looks at first; it goes on to four times as many until the recall is reached.
+FIRST_REACH = 64
+MOST_TASKS = 20_000
 #: A leaf of more rows than this (expected from the sample) is worked on in blocks.
 BLOCK_ROWS = 16384
 DIGITS = 9
@@ -330,7 +333,8 @@ def nearest(vectors: DataFrame, k: int = NEIGHBOURS, minimum_cosine: float = -1.
     - Of equal vectors only the k + 1 smallest ids can be anyone's answer, so a group of copies of any size costs a leaf k + 1 members;
       the other copies get the k smallest as their answers directly.
     - The tree is fitted on at most ``fit_rows`` rows of each model and indexes every row.  Leaf visits are widened until the sampled
-      queries' neighbours at or above ``minimum_cosine`` are found with recall ``wanted`` (at most ``most_visits`` leaves, 0 for all).
+      queries' neighbours at or above ``minimum_cosine`` are found with recall ``wanted`` (at most ``most_visits`` leaves, 0 for all);
+      the visits taken and the recall they reach are in ``recall``.
     - An empty table gives no rows.
     """
     spark = vectors.sparkSession
@@ -342,17 +346,22 @@ def nearest(vectors: DataFrame, k: int = NEIGHBOURS, minimum_cosine: float = -1.
     for model, n in counts.items():
         _, x = _sampled(good, model, n, fit_rows, 1)
         trees[model] = fit_tree(_unit(x), n, leaf_rows) if len(x) else fit_tree(_unit(_matrix(good.where(F.col("model") == model).limit(1).toArrow().column("vector").combine_chunks())), n, leaf_rows)
-        samples[model] = _sampled(good, model, n, CALIBRATION_QUERIES, 2)
+        ids, x = _sampled(good, model, n, CALIBRATION_QUERIES, 2)
+        _, once = np.unique(x, axis=0, return_index=True)  # copies of a hot vector find one another whatever the visits
+        samples[model] = ids[once], x[once]
     index = Index(trees, dict.fromkeys(trees, 1))
     recall: dict[str, tuple[int, int, float]] = {}
-    if counts:
-        most = {m: min(t.leaves, most_visits or t.leaves) for m, t in trees.items()}
-        truth = _truth(good, index, samples, k, max(2, min(64, max(most.values()))) if symmetric else 1)
-        for model, tree in trees.items():
-            reach = min(most[model], 64) if symmetric else most[model]
-            count, got = calibrated(tree, *samples[model], [r for r in truth if r.model == model], minimum_cosine, wanted, symmetric, reach)
-            index.visits[model] = count
-            recall[model] = (counts[model], count, got)
+    most = {m: min(t.leaves, most_visits or t.leaves) for m, t in trees.items()}
+    reach = {m: min(n, FIRST_REACH) if symmetric else n for m, n in most.items()}
+    while pending := [m for m in trees if m not in recall]:
+        truth = _truth(good.where(F.col("model").isin(pending)), index, samples, k, max(2, *(reach[m] for m in pending)) if symmetric else 1)
+        for model in pending:
+            count, got = calibrated(trees[model], *samples[model], [r for r in truth if r.model == model], minimum_cosine, wanted, symmetric, reach[model])
+            if got >= wanted or reach[model] >= most[model]:
+                index.visits[model] = count
+                recall[model] = (counts[model], count, got)
+            else:
+                reach[model] = min(most[model], 4 * reach[model])
     shared = spark.sparkContext.broadcast(index)
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -369,7 +378,9 @@ def nearest(vectors: DataFrame, k: int = NEIGHBOURS, minimum_cosine: float = -1.
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, _PLACED, strict=True)], schema=_PLACED)
 
     rows = good.select("vec_id", "model", "vector", asked.alias("asked")).mapInArrow(place, "leaf long, is_query boolean, member boolean, vec_id long, vector binary")
-    found = rows.groupBy("leaf").applyInArrow(_leaf_search(k, minimum_cosine, symmetric), "a long, b long, cosine double")
+    # as many partitions as leaves, so that a task's share stays that of few leaves however many rows there are
+    tasks = min(MOST_TASKS, sum(t.leaves for t in trees.values())) or 1
+    found = rows.repartition(tasks, "leaf").groupBy("leaf").applyInArrow(_leaf_search(k, minimum_cosine, symmetric), "a long, b long, cosine double")
     found = found.union(_copies(good, asked, k))
     best = W.partitionBy("a").orderBy(F.col("cosine").desc(), "b")
     found = found.dropDuplicates(["a", "b"]).repartition("a").withColumn("_r", F.row_number().over(best)).where(F.col("_r") <= k)
@@ -400,13 +411,19 @@ def p4_found(spark: SparkSession, folder: str) -> DataFrame:
     return found.select(F.least("a", "b").alias("vec_id_a"), F.greatest("a", "b").alias("vec_id_b")).distinct()
 
 
+def p4_recall(spark: SparkSession, folder: str) -> DataFrame:
+    """By model the rows, the leaf visits that p4_found takes, and their recall on the calibration queries."""
+    recall = nearest(read_table(spark, folder, "reuse_vectors"), minimum_cosine=MINIMUM_COSINE).recall
+    return spark.createDataFrame([(m, n, visits, float(got)) for m, (n, visits, got) in recall.items()], "embedding_model string, n_rows long, leaf_visits int, recall double")
+
+
 def p4_neighbours(spark: SparkSession, folder: str) -> DataFrame:
     """The five nearest of every row whose id is divisible by 20, however low their cosine, against all rows."""
     found = nearest(read_table(spark, folder, "reuse_vectors"), queries=F.col("vec_id") % 20 == 0, wanted=0.95).found
     return found.select(F.col("a").alias("vec_id"), F.col("b").alias("neighbour_id"), "cosine", "place")
 
 
-QUERIES = {"p4_found": p4_found, "p4_neighbours": p4_neighbours}
+QUERIES = {"p4_found": p4_found, "p4_neighbours": p4_neighbours, "p4_recall": p4_recall}
 ORACLES = {
     "p4_found": """
 WITH v AS (SELECT DISTINCT vec_id, embedding_model AS m, vector::DOUBLE[] AS v FROM reuse_vectors WHERE vec_id IS NOT NULL AND embedding_model IS NOT NULL AND vector IS NOT NULL

@@ -60,3 +60,13 @@ def test_best_bin_first_visits_all_leaves_once():
     tree = m.fit_tree(x, 500, leaf_rows=20, branches=4)
     v = tree.visits(x[:20], tree.leaves)
     assert tree.leaves > 8 and all(sorted(r) == list(range(tree.leaves)) for r in v.tolist())
+
+
+def test_calibration_goes_on_until_the_recall_is_reached(spark, monkeypatch):
+    df = spark.createDataFrame(rows(7, 400, 24, 0, "m"), SCHEMA)
+    monkeypatch.setattr(m, "FIRST_REACH", 1)
+    search = m.nearest(df, leaf_rows=16, wanted=0.999)
+    ((n, visits, recall),) = search.recall.values()
+    assert n == 400 and visits > 1 and recall >= 0.999
+    (capped,) = m.nearest(df, leaf_rows=16, wanted=0.999, most_visits=2).recall.values()
+    assert capped[1] == 2 and capped[2] < 0.999  # a ceiling asked for is kept, and its recall told
