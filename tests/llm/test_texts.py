@@ -46,14 +46,30 @@ def test_scans(spark):
     assert p6.mended(df.limit(0)).count() == 0
 
 
+def fewest(sizes, capacity):
+    def place(i, rooms):
+        if i == len(sizes):
+            return len(rooms)
+        options = [place(i + 1, [*rooms, capacity - sizes[i]])]
+        for j in {room: j for j, room in enumerate(rooms) if room >= sizes[i]}.values():
+            options.append(place(i + 1, [room - sizes[i] if k == j else room for k, room in enumerate(rooms)]))
+        return min(options)
+
+    return place(0, [])
+
+
 def test_packing(spark):
     r = random.Random(4)
     for _ in range(20):
         sizes = [r.randint(1, 100) for _ in range(40)]
-        bins = p7.bin_completion(sizes, 100)
+        bins, _ = p7.bin_completion(sizes, 100)
         assert sorted(i for b in bins for i in b) == list(range(40)) and all(sum(sizes[i] for i in b) <= 100 for b in bins)
         assert p7.least_bins(sizes, 100) <= len(bins) <= len(p7.best_fit(sizes, 100))
-    assert len(p7.bin_completion([6, 5, 5, 4, 4, 3, 3], 10)) == 3
+    assert len(p7.bin_completion([6, 5, 5, 4, 4, 3, 3], 10)[0]) == 3
+    for _ in range(60):  # without limits the packing is the least possible
+        sizes = [r.randint(20, 70) for _ in range(r.randint(1, 9))]
+        bins, proven = p7.bin_completion(sizes, 100, p7.UNLIMITED)
+        assert proven and len(bins) == fewest(sizes, 100) and (len(p7.bin_completion(sizes, 100)[0]) == len(bins) or not p7.bin_completion(sizes, 100)[1])
     df = spark.createDataFrame([(1, 5000), (2, 100), (3, 0), (4, None), (None, 5), (2, 100), (5, 1948)], "doc_id long, tokens long")
     out = p7.pack(df).collect()
     assert sorted((x.doc_id, x.tokens) for x in out) == [(1, 904), (1, 2048), (1, 2048), (2, 100), (3, 0), (5, 1948)]
