@@ -22,7 +22,8 @@ from quernstone.llm.p5_quality import COMMON
 from quernstone.plans.stages import cut
 from quernstone.sources import read_table
 
-#: Words in fewer texts are not in the vocabulary; beyond the bound the rarest are left out.
+#: Words in fewer texts are not in the vocabulary.  So many words, the commonest, are sent to all tasks at once; what texts
+#: ask of the others is looked up in blocks of as many.
 LEAST_TEXTS = 3
 VOCABULARY = 400_000
 #: A candidate must be so many times as frequent as the word as written, for confusable signs and for any others.
@@ -134,9 +135,25 @@ class Mender:
     """Decides words against the vocabulary; decisions are kept for words seen before."""
 
     def __init__(self, counts: dict[str, int]):
-        self.counts, self.trie, self.known = counts, Trie(counts), {}
+        self.base, self.trie = counts, Trie(counts)
+        self.forget()
+
+    def forget(self) -> None:
+        self.counts, self.known = self.base, {}
+        self.near: dict[str, list[tuple[str, int, int]]] = {}
         self.tokens: dict[str, Seen] = {}
 
+    def learn(self, facts: list[dict]) -> None:
+        """Takes in what is known of a text's words beyond those that all tasks have: their counts and candidates."""
+        if len(self.near) > 200_000:
+            self.forget()
+        if self.counts is self.base:
+            self.counts = dict(self.base)
+        for fact in facts:
+            if fact["n"]:
+                self.counts[fact["token"]] = fact["n"]
+            self.near[fact["token"]] = [(c["word"], c["cost"], c["n"]) for c in fact["near"] or ()]
+
     def candidates(self, token: str) -> list[tuple[int, int, str]]:
         """``(cost, -count, word)`` of the words that may be meant by a doubtful lower-case token, empty for one that stands."""
         if (hit := self.known.get(token)) is not None:
@@ -147,7 +164,7 @@ class Mender:
         odd = not token.isalpha()
         out = []
         if odd or len(token) >= 3:
-            for word, (cost, n) in self.trie.within(token).items():
+            for word, cost, n in [*((w, *x) for w, x in self.trie.within(token).items()), *self.near.get(token, ())]:
                 if word == token:
                     continue
                 if cost == 1 and (odd or n >= RATIO_CONFUSED * max(1, own)) or cost == 2 and self._plausible(token, word, own, n, odd):
@@ -177,6 +194,48 @@ class Mender:
         return Fix(word, cost)
 
 
+class _Noting(dict):
+    """Counts that note what they were asked for and have not."""
+
+    noted: set[str]
+
+    def __contains__(self, word: object) -> bool:
+        return dict.__contains__(self, word) or bool(self.noted.add(word))
+
+    def get(self, word: str, default: int = 0) -> int:
+        if not dict.__contains__(self, word):
+            self.noted.add(word)
+        return dict.get(self, word, default)
+
+
+class Asker(Mender):
+    """Knows no candidates and notes every word that mending a text asks for, and more: whatever a candidate would spare asking is asked too."""
+
+    def __init__(self, counts: dict[str, int]):
+        self.base = _Noting(counts)
+        self.noted = self.base.noted = set()
+        self.forget()
+
+    def candidates(self, token: str) -> list[tuple[int, int, str]]:
+        self.noted.add(token)
+        return []
+
+    def asked(self, text: str, headers: set[str]) -> set[str]:
+        if not is_prose(text):
+            return set()
+        self.noted.clear()
+        self.tokens.clear()
+        lines = text.split("\n")
+        gone = furniture(lines, headers)
+        joined, _ = _flowing(lines, gone)
+        for part in (*re.split(r"\n[ \t]*\n+", joined), *(lines[i] for i in gone)):
+            seen = [_seen(t, self) for t in part.split()]
+            for a, b in zip(seen, seen[1:]):  # halves of a word; two common words are none
+                if a.half and b.rest and not (dict.__contains__(self.base, a.half) and dict.__contains__(self.base, b.rest)):
+                    self.noted |= {a.half + b.rest, a.half, b.rest}
+        return {w for w in self.noted if w}
+
+
 @dataclass
 class Mended:
     text: str
@@ -247,11 +306,9 @@ def mend(text: str, headers: set[str], mender: Mender) -> Mended:
     removed = sum(len(lines[i]) for i in gone)
     for k in gone.values():
         kinds |= k
-    body = "\n".join(line for i, line in enumerate(lines) if i not in gone)
-    joined, broken = _BROKEN.subn(_joined, body)
+    joined, broken = _flowing(lines, gone)
     if broken:
         kinds.add("hyphenation")
-    joined = _SOFT.sub("", joined)
     paragraphs, mended = [], 0
     words_around = cache(lambda: set(_LETTERS.findall(joined.lower())))  # asked for only by doubtful words
     for block in re.split(r"\n[ \t]*\n+", joined):
@@ -268,6 +325,13 @@ def mend(text: str, headers: set[str], mender: Mender) -> Mended:
     return Mended("\n\n".join(paragraphs), kinds, removed, mended + broken)
 
 
+def _flowing(lines: list[str], gone: dict[int, set[str]]) -> tuple[str, int]:
+    """The lines that stay, with words broken across lines joined, and how many were."""
+    body = "\n".join(line for i, line in enumerate(lines) if i not in gone)
+    joined, broken = _BROKEN.subn(_joined, body)
+    return _SOFT.sub("", joined), broken
+
+
 def _joined(m: re.Match) -> str:
     return m.group(1) + m.group(2)
 
@@ -376,13 +440,67 @@ def _cased(pattern: str, word: str) -> str:
     return word.capitalize() if letters and letters[0].isupper() and pattern[0] == letters[0] else word
 
 
-def vocabulary(chunks: DataFrame, least: int = LEAST_TEXTS, most: int = VOCABULARY) -> dict[str, int]:
-    """Words by the number of different texts that hold them, counted over all texts; at most ``most`` of them, the most frequent."""
+def word_counts(chunks: DataFrame, least: int = LEAST_TEXTS) -> DataFrame:
+    """``(word, n)``: in how many different texts each word stands, over all texts; words in fewer than ``least`` are left out."""
     words = F.array_distinct(F.regexp_extract_all(F.lower("contents"), F.lit(r"\p{L}{2,30}"), F.lit(0)))
     texts = chunks.select("contents").distinct()  # copies are collapsed before the shuffle, so a hot text is no hot spot
-    counted = texts.select(F.explode(words).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least)
-    rows = counted.orderBy(F.col("n").desc(), "word").limit(most).collect()  # bounded by most
-    return {r[0]: r[1] for r in rows}
+    return texts.select(F.explode(words).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least)
+
+
+def vocabulary(chunks: DataFrame, least: int = LEAST_TEXTS, most: int = VOCABULARY) -> dict[str, int]:
+    """The ``most`` commonest words with their counts."""
+    return _commonest(word_counts(chunks, least), most)
+
+
+def _commonest(counted: DataFrame, most: int) -> dict[str, int]:
+    return {r[0]: r[1] for r in counted.orderBy(F.col("n").desc(), "word").limit(most).collect()}  # bounded by most
+
+
+def _looked_up(joined: DataFrame, counted: DataFrame, base: dict[str, int], most: int) -> DataFrame:
+    """``(key, facts)``: for each text what its words have beyond the common ones: their counts, and the words near them.
+
+    The words beyond the common ones are worked off in blocks of ``most``, each a trie that all tasks
+    have for one pass over the distinct words asked for.
+    """
+    sc = joined.sparkSession.sparkContext
+    least = min(base.values())
+    known = sc.broadcast(base)
+    # the commonest words fill the bound; of those as common as its last, the ones it has are marked
+    last = joined.sparkSession.createDataFrame([(w,) for w, n in base.items() if n == least], "word string")
+    rest = counted.where(F.col("n") <= least).join(last, "word", "left_anti")
+    rest = rest.withColumn("block", F.pmod(F.xxhash64("word"), F.lit(max(1, -(-rest.count() // max(1, most // 2))))).cast("int"))
+    rest = cut(rest)
+    schema = pa.schema([("key", pa.int64()), ("token", pa.string())])
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        asker = Asker(known.value)
+        for b in batches:
+            out = {(key, w) for key, text, headers in zip(*(c.to_pylist() for c in b.columns), strict=True) for w in asker.asked(text, set(headers or ()))}
+            columns = list(zip(*out, strict=True)) or [(), ()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
+
+    asked = cut(joined.select("key", "contents", "headers").mapInArrow(ask, "key long, token string").distinct())
+    tokens = cut(asked.select("token").distinct())
+    near_schema = pa.schema([("token", pa.string()), ("word", pa.string()), ("cost", pa.int32()), ("n", pa.int64())])
+    near = None
+    for block in sorted(r[0] for r in rest.select("block").distinct().collect()):  # one pass for each block of words
+        trie = sc.broadcast({r[0]: r[1] for r in rest.where(F.col("block") == block).select("word", "n").collect()})  # about half of most
+
+        def find(batches: Iterator[pa.RecordBatch], trie=trie) -> Iterator[pa.RecordBatch]:
+            words = Trie(trie.value)
+            for b in batches:
+                out = [(t, w, cost, n) for t in b.column(0).to_pylist() if len(t) >= 3 or not t.isalpha() for w, (cost, n) in words.within(t).items() if w != t]
+                columns = list(zip(*out, strict=True)) or [()] * 4
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, near_schema, strict=True)], schema=near_schema)
+
+        part = tokens.mapInArrow(find, "token string, word string, cost int, n long")
+        near = part if near is None else near.union(part)
+    own = tokens.join(rest.select(F.col("word").alias("token"), "n"), "token")
+    if near is None:
+        facts = own.withColumn("near", F.array().cast("array<struct<word:string,cost:int,n:bigint>>"))
+    else:
+        facts = own.join(near.groupBy("token").agg(F.collect_list(F.struct("word", "cost", "n")).alias("near")), "token", "full_outer")  # the words within two edits
+    return asked.join(facts, "token").groupBy("key").agg(F.collect_list(F.struct("token", "n", "near")).alias("facts"))  # at most the words of a text
 
 
 def _title_lines(rows: DataFrame) -> DataFrame:
@@ -405,25 +523,34 @@ def _title_lines(rows: DataFrame) -> DataFrame:
 _SCHEMA = pa.schema([("chunk_id", pa.string()), ("contents", pa.string()), ("kinds", pa.list_(pa.string())), ("removed_characters", pa.int32()), ("mended_words", pa.int32())])
 
 
-def mended(chunks: DataFrame) -> DataFrame:
+def mended(chunks: DataFrame, most: int = VOCABULARY) -> DataFrame:
     """``(chunk_id, contents, kinds, removed_characters, mended_words)`` of every text.
 
     - A running header is a title-like line that at least two different texts of its document share, or a numbered chapter line, wherever it stands.
     - Null ids and texts give no rows; repeated rows and copies under other ids count once; a null document has no shared headers; extra columns are ignored.
-    - Word counts and headers are gathered over all texts; texts are read whole; only the vocabulary, bounded by a parameter, is sent to the tasks.
+    - Word counts and headers are gathered over all texts; texts are read whole; the ``most`` commonest words are sent to the tasks, and what
+      texts ask of the others is looked up and joined to them, so the result is the same whatever ``most`` is.
     """
     rows = chunks.select("chunk_id", "document_id", "contents").where("chunk_id IS NOT NULL AND contents IS NOT NULL").withColumn("document_id", F.coalesce("document_id", F.lit("")))
-    counts = chunks.sparkSession.sparkContext.broadcast(vocabulary(chunks.where("contents IS NOT NULL")))
+    counted = cut(word_counts(chunks.where("contents IS NOT NULL")))
+    base = _commonest(counted, most)
+    beyond = counted.count() > len(base)
+    counts = chunks.sparkSession.sparkContext.broadcast(base)
     lines = cut(_title_lines(rows.where("instr(contents, '\n') > 0")))
     shared = lines.where("document_id <> ''").select("document_id", "key", "text").distinct().groupBy("document_id", "key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     of_chunk = lines.join(shared, ["document_id", "key"], "left_semi").groupBy("chunk_id", "document_id").agg(F.collect_set("key").alias("headers"))  # at most the lines of a text
     joined = rows.join(of_chunk, ["chunk_id", "document_id"], "left").select("chunk_id", "contents", "headers")
+    if beyond and base:
+        joined = cut(joined.withColumn("key", F.xxhash64("contents", F.array_sort("headers"))))
+        joined = joined.join(_looked_up(joined, counted, base, most), "key", "left").select("chunk_id", "contents", "headers", "facts")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         mender = _mender(counts)
         for b in batches:
             out = []
-            for chunk, text, headers in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            for chunk, text, headers, *facts in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if facts and facts[0]:
+                    mender.learn(facts[0])
                 m = mend(text, set(headers or ()), mender)
                 out.append((chunk, m.text, sorted(m.kinds), m.removed, m.mended))
             columns = list(zip(*out, strict=True)) or [()] * 5

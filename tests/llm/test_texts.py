@@ -171,3 +171,16 @@ def test_encoding_decoys_and_losses(spark):
     assert got[6].text == "the “quoted” map — and the “quoted” reader — is in the town" and got[6].recovered and got[8].text == "“quoted” map in the town"
     assert "théâtre révèle la règle" in got[7].text and not got[7].recovered and not got[5].recovered
     assert all(x.chain for x in got.values())  # nothing comes out without a chain that shortens it
+
+
+def test_scans_with_few_words_at_hand(spark):
+    r = random.Random(11)
+    rare = ["lantern", "harbour", "quarry", "meadow", "thistle", "granary", "foundry", "orchard"]
+    sound = [f"The {a} and the {b} of the town were in the map for every reader of the letter, as it was {c} there." for a, b, c in ((r.choice(rare), r.choice(rare), r.choice(["made", "read", "kept"])) for _ in range(80))]
+    bad = ["The lantem was in the town for every reader as it was made.", "The harb0ur and the mead ow were in the map of the town.", "The thistIe is at the orch-\nard and the q1arry of the town.", "The granaiy was in the town, and evcry reader knew that it was there."]
+    rows = [(f"s{i}", "d1", t, 1) for i, t in enumerate(sound)] + [(f"b{i}", "d2", t, 1) for i, t in enumerate(bad)]
+    df = spark.createDataFrame(rows, "chunk_id string, document_id string, contents string, kinds int")
+    whole = {x.chunk_id: x for x in p6.mended(df).collect()}
+    assert len(p6.vocabulary(df)) > 20 and "lantern" in whole["b0"].contents and "meadow" in whole["b1"].contents and "orchard" in whole["b2"].contents
+    for most in (5, 12, 21):
+        assert {x.chunk_id: x for x in p6.mended(df, most=most).collect()} == whole
