@@ -1,24 +1,19 @@
 """The pN_ queries and their SQL, gathered from the modules of this package."""
 
-import importlib
+from quernstone.llm import p1_splitting, p2_fusion, p3_minhash, p4_neighbours, p5_quality, p6_scans, p7_packing, p8_leakage, p9_encoding
 
-MODULES = ("p1_splitting", "p2_fusion", "p3_minhash", "p4_neighbours", "p5_quality", "p6_scans", "p7_packing", "p8_leakage", "p9_encoding")
+MODULES = (p1_splitting, p2_fusion, p3_minhash, p4_neighbours, p5_quality, p6_scans, p7_packing, p8_leakage, p9_encoding)
 
 
-def _gather(what: str) -> dict:
+def queries() -> dict:
     out: dict = {}
-    for name in MODULES:
-        try:
-            out |= getattr(importlib.import_module(f"quernstone.llm.{name}"), what)
-        except ModuleNotFoundError as e:
-            if e.name != f"quernstone.llm.{name}":
-                raise
+    for m in MODULES:
+        out |= m.QUERIES
     return out
 
 
-def queries() -> dict:
-    return _gather("QUERIES")
-
-
 def oracle_sql() -> dict:
-    return _gather("ORACLES")
+    out: dict = {}
+    for m in MODULES:
+        out |= m.ORACLES
+    return out
