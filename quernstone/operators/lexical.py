@@ -79,9 +79,10 @@ QUERY_SLICE = 512
 def bm25_top_k(index: Index, queries: DataFrame, k: int, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
     """``(query_id, chunk_id, score, rank)``: the first k of :func:`bm25` for each query, equal scores by chunk_id.
 
-    Where the query terms are few enough to broadcast, a task scores its chunks in blocks against slices
-    of the queries and passes on no more than k chunks (and ties) per query and block, so that the
-    matches, which are many more, are never rows.  Otherwise the joined scores are ranked.
+    Where the query terms are few enough to broadcast, only their postings are kept, by a join in the
+    JVM that puts numbers for terms; a task then scores its chunks in blocks against slices of the queries
+    and passes on no more than k chunks (and ties) per query and block, so that the matches, which are
+    many more, are never rows.  Otherwise the joined scores are ranked.
     """
     weighted = _weighted(index, queries)
     table = weighted.limit(broadcast_rows + 1).toArrow()
@@ -97,17 +98,17 @@ def bm25_top_k(index: Index, queries: DataFrame, k: int, broadcast_rows: int = B
         m = m[np.argsort(term_of[m], kind="stable")]
         pointers = np.concatenate(([0], np.cumsum(np.bincount(term_of[m], minlength=len(terms)))))
         slices.append((ids[first : first + QUERY_SLICE], pointers, at[m] - first, weights[m]))
-    known = queries.sparkSession.sparkContext.broadcast((terms, slices))
+    known = queries.sparkSession.sparkContext.broadcast(slices)
+    numbered = queries.sparkSession.createDataFrame(pa.table({"term": pa.array(list(terms), pa.string()), "number": pa.array(list(terms.values()), pa.int32())}))  # at most broadcast_rows
     schema = pa.schema([("query_id", pa.int64()), ("chunk_id", pa.string()), ("score", pa.float64())])
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        terms, slices = known.value
+        slices = known.value
         for b in batches:
             names = b.column(0)
             lists, gains = b.column(1), b.column(2).flatten().to_numpy(zero_copy_only=False)
             own = np.repeat(np.arange(len(names)), np.diff(lists.offsets.to_numpy()))
-            term = np.array([terms.get(t, -1) for t in lists.flatten().to_pylist()], dtype=np.int64)
-            own, gains, term = own[term >= 0], gains[term >= 0], term[term >= 0]
+            term = lists.flatten().to_numpy(zero_copy_only=False)
             for q_ids, pointers, q_at, q_weight in slices:
                 counts = pointers[term + 1] - pointers[term]
                 total = int(counts.sum())
@@ -122,8 +123,9 @@ def bm25_top_k(index: Index, queries: DataFrame, k: int, broadcast_rows: int = B
                 rows, columns = np.nonzero(keep)
                 yield pa.RecordBatch.from_arrays([pa.array(q_ids[columns], pa.int64()), names.take(pa.array(rows)), pa.array(block[rows, columns])], schema=schema)
 
-    by_chunk = _gains(index).groupBy("chunk_id").agg(F.collect_list(F.struct("term", "gain")).alias("p"))  # the distinct terms of one chunk
-    found = by_chunk.select("chunk_id", F.col("p.term").alias("terms"), F.col("p.gain").alias("gains")).mapInArrow(score, "query_id long, chunk_id string, score double")
+    asked = _gains(index).join(F.broadcast(numbered), "term")
+    by_chunk = asked.groupBy("chunk_id").agg(F.collect_list(F.struct("number", "gain")).alias("p"))  # the distinct terms of one chunk
+    found = by_chunk.select("chunk_id", F.col("p.number").alias("terms"), F.col("p.gain").alias("gains")).mapInArrow(score, "query_id long, chunk_id string, score double")
     return ranked(found, k)
 
 

@@ -2,7 +2,8 @@
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
+
+from quernstone.operators.ranks import order_statistics
 
 RECENT = 1000
 TRACKED_RANKS = 5
@@ -65,11 +66,9 @@ def _bucket(day: Column, grain: Column) -> Column:
 
 
 def nearest_rank(rows: DataFrame, group: list[str], value: str, quantiles: dict[str, float]) -> DataFrame:
-    """Nearest-rank percentiles ``sorted[ceil(q n) - 1]`` per group, by one numbered window and conditional aggregates; null without values."""
-    w = W.partitionBy(*group)
-    numbered = rows.where(F.col(value).isNotNull()).withColumn("_r", F.row_number().over(w.orderBy(value))).withColumn("_n", F.count(F.lit(1)).over(w))
-    picks = [F.max(F.when(F.col("_r") == F.greatest(F.ceil(F.lit(q) * F.col("_n")), F.lit(1)), F.col(value))).alias(name) for name, q in quantiles.items()]
-    return numbered.groupBy(*group).agg(F.count(F.lit(1)).alias("n"), *picks)
+    """Nearest-rank percentiles ``sorted[ceil(q n) - 1]`` per group, whatever share of the rows a group has; no row for a group without values."""
+    places = {name: lambda n, q=q: F.greatest(F.ceil(F.lit(q) * n), F.lit(1)) for name, q in quantiles.items()}
+    return order_statistics(rows, group, value, places)
 
 
 def decade(year: Column) -> Column:

@@ -7,6 +7,7 @@ from quernstone.functions.tokens import STOPWORDS, word_runs
 from quernstone.operators import evaluation as e
 from quernstone.operators import lexical
 from quernstone.operators.components import connected_components
+from quernstone.operators.ranks import order_statistics
 from quernstone.operators.usage import caller_class, nearest_rank
 from quernstone.queries import common as c
 from quernstone.queries.catalogue import _CALLER
@@ -113,7 +114,9 @@ def q_repetition_rates(spark: SparkSession, d: str) -> DataFrame:
 
 def q_score_distribution(spark: SparkSession, d: str) -> DataFrame:
     h = c.hits(spark, d)
-    return h.groupBy("component").agg(F.count(F.lit(1)).alias("n"), F.round(F.min("score"), 6).alias("least"), F.round(F.expr("percentile(score, 0.5)"), 6).alias("median"), F.round(F.max("score"), 6).alias("most"), F.round(F.avg(((F.col("score") >= 0.7) & (F.col("score") <= 0.9)).cast("double")), 6).alias("in_band"))
+    middle = order_statistics(h, ["component"], "score", {"low": lambda n: F.floor((n + 1) / 2), "high": lambda n: F.ceil((n + 1) / 2)})
+    rest = h.groupBy("component").agg(F.count(F.lit(1)).alias("n"), F.round(F.min("score"), 6).alias("least"), F.round(F.max("score"), 6).alias("most"), F.round(F.avg(((F.col("score") >= 0.7) & (F.col("score") <= 0.9)).cast("double")), 6).alias("in_band"))
+    return rest.join(middle.select("component", F.round((F.col("low") + F.col("high")) / 2, 6).alias("median")), "component")
 
 
 def q_stage_presence(spark: SparkSession, d: str) -> DataFrame:
