@@ -153,4 +153,24 @@ def p8_spans(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES = {"p8_found": p8_found, "p8_spans": p8_spans}
-ORACLES: dict[str, str] = {}
+
+
+def _words_sql(text: str) -> str:
+    """The words of a text as DuckDB has them: line-end hyphenation, invisible signs, ligatures, accents and case undone."""
+    joined = f"regexp_replace({text}, '(\\p{{L}})[-‐‑⁃¬\\x{{AD}}][ \\t\\r\\f\\x{{A0}}]*\\n\\s*(\\p{{L}})', '\\1\\2', 'g')"
+    visible = f"regexp_replace({joined}, '[\\x{{AD}}\\x{{200B}}-\\x{{200D}}\\x{{2060}}\\x{{FEFF}}]', '', 'g')"
+    for sign, letters in (("ﬀ", "ff"), ("ﬁ", "fi"), ("ﬂ", "fl"), ("ﬃ", "ffi"), ("ﬄ", "ffl"), ("ﬅ", "st"), ("ﬆ", "st"), ("ß", "ss")):
+        visible = f"replace({visible}, '{sign}', '{letters}')"
+    return f"regexp_extract_all(lower(regexp_replace(strip_accents({visible}), '[\\x{{300}}-\\x{{36F}}]', '', 'g')), '[\\p{{L}}\\p{{N}}]+')"
+
+
+def _runs_sql(key: str, words: str) -> str:
+    return f"SELECT DISTINCT {key}, unnest(list_transform(range(1, len(w) - 8), lambda i: array_to_string(w[i : i + 9], ' '))) AS run FROM {words} WHERE len(w) >= 10"
+
+
+ORACLES = {
+    "p8_found": f"""
+WITH d AS (SELECT DISTINCT doc_id, {_words_sql("text")} AS w FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL), i AS (SELECT DISTINCT item_id, {_words_sql("item_text")} AS w FROM eval_items WHERE item_id IS NOT NULL AND item_text IS NOT NULL),
+x AS ({_runs_sql("doc_id", "d")}), y AS ({_runs_sql("item_id", "i")})
+SELECT DISTINCT doc_id, item_id FROM x JOIN y USING (run)""",
+}
