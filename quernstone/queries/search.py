@@ -3,6 +3,7 @@
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quernstone.functions import hooks
 from quernstone.functions.tokens import equality_key, gate_tokens, gate_tokens_sql, index_tokens_sql
 from quernstone.operators import dense, fusion, lexical
 from quernstone.queries import common as c
@@ -11,6 +12,8 @@ from quernstone.sources import read_table
 TOP_K = 10
 DEPTH = 20
 FLOOR, MARGIN = 0.72, 0.10
+#: The floor for vectors of the stand-in embedder, whose cosines lie lower.
+EMBEDDED_FLOOR = 0.35
 
 
 def q_gate_tokens(spark: SparkSession, d: str) -> DataFrame:
@@ -149,6 +152,19 @@ def q_search_hybrid(spark: SparkSession, d: str) -> DataFrame:
     return cited.select("query_id", "selected_rank", "chunk_id", "source_id", "match_kind", F.round("fusion_score", 6).alias("fusion_score"), citation().alias("citation"))
 
 
+def q_search_hybrid_embedded(spark: SparkSession, d: str) -> DataFrame:
+    """Both halves computed: BM25 with its gates, and an exact scan of all chunk vectors for every query, of the stand-in embedder."""
+    embedder, texts = hooks.HashingEmbedder(), c.chunks(spark, d, "contents")
+    vectors = hooks.embedded(texts, embedder, "chunk_id", "contents").withColumn("kind", F.lit("hashing"))
+    queries = hooks.embedded(c.text_queries(spark, d), embedder, "query_id", "query").withColumn("kind", F.lit("hashing"))
+    found = dense.exact_top_k(dense.clean_vectors(vectors), dense.clean_vectors(queries, "query_id"), DEPTH)
+    admitted = dense.relative_gate(found, EMBEDDED_FLOOR, MARGIN).where("admitted").select("query_id", "chunk_id", "rank")
+    accepted = _gated(spark, d).where("gate IS NULL").select("query_id", "chunk_id", F.col("place").alias("rank"))
+    fused = fusion.reciprocal_rank_fusion(accepted, admitted)
+    top = fusion.source_diverse(fused.join(c.chunks(spark, d, "source_id"), "chunk_id"), TOP_K)
+    return top.select("query_id", "selected_rank", "chunk_id", "source_id", "match_kind", F.round("fusion_score", 6).alias("fusion_score"))
+
+
 def citation() -> Column:
     """``authors, title (year)`` of what is known."""
     authors = F.when(F.size("authors") > 0, F.array_join("authors", "; "))
