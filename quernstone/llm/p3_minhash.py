@@ -30,7 +30,8 @@ SLACK = 4.0
 #: Buckets of more classes than this are compared in blocks, their signatures checked before any pair is emitted.
 HOT_BUCKET = 128
 BLOCK = 512
-#: Groups of exact copies are written as all their pairs up to this size, beyond it as links to the smallest id.
+#: Classes of up to so many ids are written as all their pairs.  Of larger ones the copies of one text, equal byte for byte, are
+#: written as links to the smallest id of that text, which stands for them in all pairs with other texts.
 EXPAND = 256
 
 
@@ -109,34 +110,34 @@ def slack_below(threshold: float, count: int, bits: int, errors: float) -> float
 
 
 def _sketched(texts: DataFrame, shingle: int, minimum: int, rows: int, bands: int, bits: int) -> DataFrame:
-    """``(chunk_id, member, signature, bands)`` of each text of enough words, in one pass over the texts.
+    """``(chunk_id, member, text, signature, bands)`` of each text of enough words, in one pass over the texts.
 
-    ``member`` is the first 8 bytes of the class.  Rows repeated in a batch are given once, and of each class a batch holds
+    ``member`` is the first 8 bytes of the class, ``text`` a hash of the text as it stands.  Rows repeated in a batch are given once, and of each class a batch holds
     only one row has the packed signature and the band keys; the others have nulls there.
     """
-    schema = pa.schema([("chunk_id", pa.string()), ("member", pa.int64()), ("signature", pa.list_(pa.int64())), ("bands", pa.list_(pa.int64()))])
+    schema = pa.schema([("chunk_id", pa.string()), ("member", pa.int64()), ("text", pa.int64()), ("signature", pa.list_(pa.int64())), ("bands", pa.list_(pa.int64()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sketcher = Sketcher(rows * bands)
         for b in batches:
-            found: dict[tuple[str, int], bool] = {}
+            found: dict[tuple[str, int, int], bool] = {}
             minima: dict[int, np.ndarray] = {}
-            for i, s in zip(b.column(0).to_pylist(), shingle_sets(b.column(1).to_pylist(), shingle, minimum), strict=True):
+            for i, s, text in zip(b.column(0).to_pylist(), shingle_sets(b.column(1).to_pylist(), shingle, minimum), b.column(2).to_pylist(), strict=True):
                 if s is not None:
                     member = int.from_bytes(set_key(s)[:8], "little", signed=True)
                     if (new := member not in minima):
                         minima[member] = sketcher.minima(s)
-                    found[i, member] = new or found.get((i, member), False)
+                    found[i, member, text] = new or found.get((i, member, text), False)
             signatures, keys = [], []
             if minima:
                 table = np.stack(list(minima.values()))
                 signatures, keys = packed(table, bits), band_keys(table, rows).view(np.int64)
             place = {member: k for k, member in enumerate(minima)}
-            heads = [place[member] if first else None for (_, member), first in found.items()]
-            columns = [[i for i, _ in found], [member for _, member in found], [None if k is None else signatures[k] for k in heads], [None if k is None else keys[k] for k in heads]]
+            heads = [place[member] if first else None for (_, member, _), first in found.items()]
+            columns = [[i for i, _, _ in found], [member for _, member, _ in found], [text for _, _, text in found], [None if k is None else signatures[k] for k in heads], [None if k is None else keys[k] for k in heads]]
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
 
-    return texts.mapInArrow(run, "chunk_id string, member long, signature array<long>, bands array<long>")
+    return texts.select("chunk_id", "contents", F.xxhash64("contents").alias("text")).mapInArrow(run, "chunk_id string, member long, text long, signature array<long>, bands array<long>")
 
 
 def _hot_pairs(rows: DataFrame, floor: float, count: int, bits: int) -> DataFrame:
@@ -188,7 +189,7 @@ def _decided(pairs: DataFrame, threshold: float, shingle: int) -> DataFrame:
 
 
 def near_duplicates(texts: DataFrame, threshold: float = THRESHOLD, shingle: int = SHINGLE, minimum: int = MINIMUM_WORDS, rows: int = ROWS, bands: int = BANDS, bits: int = LOW_BITS, hot: int = HOT_BUCKET) -> tuple[DataFrame, DataFrame]:
-    """Members ``(chunk_id, class)`` and links ``(a, b, similarity)`` between classes of different shingle sets.
+    """Members ``(chunk_id, class, text)`` and links ``(a, b, similarity)`` between classes of different shingle sets.
 
     - ``texts`` has ``chunk_id`` and ``contents``; other columns are ignored.  Null ids and texts, and
       texts of fewer than ``minimum`` words, are no members; repeated rows count once.
@@ -202,7 +203,7 @@ def near_duplicates(texts: DataFrame, threshold: float = THRESHOLD, shingle: int
     least = 2 * minimum - 1
     texts = texts.select("chunk_id", "contents").where(F.col("chunk_id").isNotNull() & (F.octet_length("contents") >= least))
     sketched = cut(_sketched(texts, shingle, minimum, rows, bands, bits))
-    members, heads = sketched.select("chunk_id", "member"), sketched.where("signature IS NOT NULL")
+    members, heads = sketched.select("chunk_id", "member", "text"), sketched.where("signature IS NOT NULL")
     signs = heads.groupBy("member").agg(F.first("signature").alias("signature"), F.min("chunk_id").alias("chunk_id"))
     keyed = heads.select(F.explode("bands").alias("band"), "member").repartition("band").dropDuplicates(["band", "member"])
     shared = cut(keyed.withColumn("n", F.count(F.lit(1)).over(W.partitionBy("band"))).where("n > 1"))
@@ -224,7 +225,7 @@ def near_duplicates(texts: DataFrame, threshold: float = THRESHOLD, shingle: int
     bodies = bodies if not ambiguous.limit(1).count() else _own(bodies, shingle)
     text_a, text_b = (bodies.select(F.col("member").alias(x), F.col("contents").alias(f"text_{x}")) for x in "ab")
     links = _decided(pairs.join(text_a, "a").join(text_b, "b"), threshold, shingle)
-    return members.select("chunk_id", F.col("member").alias("class")).distinct(), links
+    return members.select("chunk_id", F.col("member").alias("class"), "text").distinct(), links
 
 
 def _own(bodies: DataFrame, shingle: int) -> DataFrame:
@@ -242,22 +243,22 @@ def _own(bodies: DataFrame, shingle: int) -> DataFrame:
 def expanded(members: DataFrame, links: DataFrame, expand: int = EXPAND) -> DataFrame:
     """Pairs ``(chunk_id_a, chunk_id_b)``, the smaller id first, from classes and their links.
 
-    Classes of up to ``expand`` copies come out as all their pairs, larger ones as links of every copy
-    to the smallest id; two linked classes as all pairs between them while both are that small,
-    otherwise as links of every copy to the other class's smallest id.
+    Every pair of ids comes out but for copies in classes of more than ``expand`` ids: of the copies of
+    one text the smallest id stands for all, and the others are linked to it.  So no pair of different
+    texts is left out, whatever the size of a class.
     """
-    sizes = members.groupBy("class").agg(F.count(F.lit(1)).alias("n"), F.min("chunk_id").alias("first"))
-    one = members.join(sizes.where("n > 1"), "class")
-    small = one.where(F.col("n") <= expand)
-    within = small.select("class", F.col("chunk_id").alias("x")).join(small.select("class", F.col("chunk_id").alias("y")), "class").where("x < y").select("x", "y")
-    star = one.where(F.col("n") > expand).where("chunk_id <> first").select(F.col("first").alias("x"), F.col("chunk_id").alias("y"))
-    a, b = (sizes.select(F.col("class").alias(s), F.col("n").alias(f"n_{s}"), F.col("first").alias(f"f_{s}")) for s in "ab")
-    sized = links.select("a", "b").join(a, "a").join(b, "b")
-    m_a, m_b = (members.select(F.col("class").alias(s), F.col("chunk_id").alias(c)) for s, c in (("a", "x"), ("b", "y")))
-    both = (F.col("n_a") <= expand) & (F.col("n_b") <= expand)
-    across = sized.where(both).join(m_a, "a").join(m_b, "b").select("x", "y")
-    rest = sized.where(~both)
-    across = across.union(rest.join(m_a, "a").select("x", F.col("f_b").alias("y"))).union(rest.join(m_b, "b").select(F.col("f_a").alias("x"), "y"))
+    counted = members.groupBy("class", "text").agg(F.count_distinct("chunk_id").alias("copies"), F.min("chunk_id").alias("first"))
+    sizes = counted.groupBy("class").agg(F.sum("copies").alias("n"))
+    large = sizes.where(F.col("n") > expand).select("class")
+    stand = counted.join(large, "class").select("class", F.col("first").alias("chunk_id"))
+    units = members.join(large, "class", "left_anti").select("class", "chunk_id").union(stand).distinct()
+    crowded = counted.join(large, "class").where("copies > 1").select("class", "text", "first")
+    star = members.join(crowded, ["class", "text"]).where("chunk_id <> first").select(F.col("first").alias("x"), F.col("chunk_id").alias("y"))
+    several = units.groupBy("class").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("class")
+    one = units.join(several, "class", "left_semi")
+    within = one.select("class", F.col("chunk_id").alias("x")).join(one.select("class", F.col("chunk_id").alias("y")), "class").where("x < y").select("x", "y")
+    u_a, u_b = (units.select(F.col("class").alias(s), F.col("chunk_id").alias(c)) for s, c in (("a", "x"), ("b", "y")))
+    across = links.select("a", "b").join(u_a, "a").join(u_b, "b").select("x", "y")
     pairs = within.union(star).union(across).where("x <> y")
     return pairs.select(F.least("x", "y").alias("chunk_id_a"), F.greatest("x", "y").alias("chunk_id_b")).distinct()
 
@@ -272,7 +273,7 @@ def p3_groups(spark: SparkSession, folder: str) -> DataFrame:
     links = cut(links)
     groups = connected_components(links.select("a", "b"), "a", "b")
     ends = links.select(F.col("a").alias("class")).union(links.select("b")).groupBy("class").agg(F.count(F.lit(1)).alias("links"))
-    joined = members.join(groups.select(F.col("node").alias("class"), "component"), "class", "left").join(ends, "class", "left")
+    joined = members.select("chunk_id", "class").distinct().join(groups.select(F.col("node").alias("class"), "component"), "class", "left").join(ends, "class", "left")
     return joined.select("chunk_id", "class", F.coalesce("component", "class").alias("group_id"), F.coalesce("links", F.lit(0)).alias("links"))
 
 

@@ -65,3 +65,15 @@ def test_signature_estimates_similarity():
 
 def test_empty(spark):
     assert m.expanded(*m.near_duplicates(frame(spark, []))).count() == 0
+
+
+def test_large_class_keeps_pairs_between_different_texts(spark):
+    t = " ".join(WORDS[:60])
+    spellings = [t, t.upper(), t + "."]
+    rows = [(f"{'abc'[i % 3]}{i:02}", spellings[i % 3]) for i in range(30)] + [("z", " ".join(WORDS[:58] + ["other", "end"])), ("z2", " ".join(WORDS[:58] + ["other", "end"]))]
+    got = {tuple(r) for r in m.expanded(*m.near_duplicates(frame(spark, rows + rows[:5])), expand=10).collect()}
+    firsts = ["a00", "b01", "c02"]
+    star = {(f, i) for f in firsts for i, _ in rows if i[0] == f[0] and i != f}
+    between = {("a00", "b01"), ("a00", "c02"), ("b01", "c02")}
+    across = {(f, z) for f in firsts for z in ("z", "z2")}
+    assert got == star | between | across | {("z", "z2")}
