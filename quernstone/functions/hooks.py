@@ -1,12 +1,15 @@
 """Where models plug in: tokenizers, embedders and rerankers, with stand-ins that need none."""
 
+import base64
 import math
 import re
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 from typing import Protocol
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -17,6 +20,8 @@ from quernstone.functions.metadata import chunk_header
 DIMENSION = 64
 #: A word, or one sign that is no blank.
 TOKEN = r"[\p{L}\p{N}]+|[^\p{L}\p{N} \t\n\r\f]"
+#: Fixed value: how byte-pair vocabularies of this kind part words before merging.
+WORDS = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
 
 class Tokenizer(Protocol):
@@ -46,6 +51,59 @@ class PatternTokenizer:
         return F.regexp_count(text, F.lit(self.pattern))
 
 
+class BytePairTokenizer:
+    """Counts and cuts by a byte-pair vocabulary file, whose path is given; ``None`` for no file, and then nothing is counted."""
+
+    def __init__(self, path: str | None):
+        self.path = path
+
+    def count(self, text: Column) -> Column:
+        if self.path is None:
+            return F.lit(None).cast("int")
+        path = self.path
+
+        @F.pandas_udf("int")
+        def counted(texts: pd.Series) -> pd.Series:
+            encoding = byte_pairs(path)
+            return texts.map(lambda t: None if t is None else len(encoding.encode_ordinary(t))).astype("Int32")
+
+        return counted(text)
+
+
+@lru_cache(4)
+def byte_pairs(path: str):
+    """The encoding of a vocabulary file of base64 tokens and ranks, one pair a line."""
+    import tiktoken
+
+    with open(path, "rb") as f:
+        ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}
+    return tiktoken.Encoding("byte pairs", pat_str=WORDS, mergeable_ranks=ranks, special_tokens={})
+
+
+def token_windows(units: DataFrame, path: str, size: int, overlap: int) -> DataFrame:
+    """``(unit_id, window, contents)``: windows of ``size`` byte-pair tokens that step by size - overlap, stripped.
+
+    An overlap of the size or more falls back to a quarter of it.  Null and blank texts give no window, nor
+    do windows that are blank or lie wholly within the one before.  A sign cut by a window's edge is left out.
+    """
+    step = size - (size // 4 if overlap >= size else overlap)
+    schema = pa.schema([("unit_id", pa.string()), ("window", pa.int32()), ("contents", pa.string())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoding = byte_pairs(path)
+        for b in batches:
+            out = []
+            for unit, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                tokens = encoding.encode_ordinary(text.strip())
+                starts = range(0, max(1, len(tokens) - (size - step)), step)
+                pieces = [encoding.decode(tokens[i : i + size], errors="ignore").strip() for i in starts]
+                out += [(unit, k, p) for k, p in enumerate(pieces) if p]
+            columns = list(zip(*out, strict=True)) or [(), (), ()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
+
+    return units.where("contents IS NOT NULL").select("unit_id", "contents").mapInArrow(run, "unit_id string, window int, contents string")
+
+
 class HashingEmbedder:
     """Words hashed into signed cells and scaled to length 1: deterministic, and near for texts that share words."""
 

@@ -53,6 +53,17 @@ def corruption_reasons(text: Column) -> Column:
     return F.when(text.isNotNull(), F.array_compact(F.array(*reasons)))
 
 
+#: Families of scripts that a text may mix, as Unicode names them.
+SCRIPTS = ("Latin", "Greek", "Cyrillic", "Hebrew", "Arabic", "Devanagari", "Thai", "Hangul", "Hiragana", "Katakana", "Han")
+
+
+def mixed_scripts(text: Column) -> Column:
+    """Whether a text has letters of four families of scripts and more, none of which makes up 70 % of them; false for null."""
+    counts = F.array(*[F.regexp_count(text, F.lit(rf"\p{{Is{s}}}")) for s in SCRIPTS])
+    total = F.aggregate(counts, F.lit(0), lambda a, x: a + x)
+    return F.coalesce((F.size(F.filter(counts, lambda x: x > 0)) >= 4) & (F.array_max(counts) < 0.7 * total), F.lit(False))
+
+
 def script_notes(text: Column) -> Column:
     """``non_latin_dominant`` for a text of twenty letters and more of which under half are Latin; else empty."""
     letters = F.regexp_count(text, F.lit(r"\p{L}"))

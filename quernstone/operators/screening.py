@@ -68,3 +68,25 @@ def source_health_reasons(maximum_percent: float = MAXIMUM_UNCLEAN_PERCENT) -> C
         F.when((removed >= UNSAFE_CHARACTERS) & (removed * 100 > (kept + removed) * UNSAFE_PERCENT), "unsafe_to_clean"),
     ]
     return F.when((n <= 0) | (retained <= 0), F.array(F.lit("no_readable_text"))).otherwise(F.array_compact(F.array(*reasons)))
+
+
+#: A converter's payload: the blocks of each page, by its number, and the labels printed on pages.
+PAYLOAD = "pages map<string, array<struct<contents: string, content_kind: string>>>, page_labels map<string, string>"
+
+
+def page_units(payloads: DataFrame) -> DataFrame:
+    """``(document_id, page_no, page_label, block, contents, content_kind)`` of JSON payloads ``(document_id, payload)``.
+
+    Blocks are numbered on their page, in order, blank ones left out before; white space is made single.
+    A payload that is no such JSON, or a page that is no number, gives no rows.
+    """
+    read = payloads.select("document_id", F.from_json("payload", PAYLOAD).alias("p")).select("document_id", "p.page_labels", F.explode("p.pages").alias("page", "blocks"))
+    clean = F.transform("blocks", lambda x: F.struct(F.trim(F.regexp_replace(F.coalesce(x["contents"], F.lit("")), r"\s+", " ")).alias("contents"), F.coalesce(x["content_kind"], F.lit("prose")).alias("content_kind")))
+    rows = read.where(F.col("page").rlike("^[0-9]{1,9}$")).select("document_id", F.col("page").cast("int").alias("page_no"), F.col("page_labels")[F.col("page")].alias("page_label"), F.posexplode(F.filter(clean, lambda x: x["contents"] != "")).alias("block", "x"))
+    return rows.select("document_id", "page_no", "page_label", "block", "x.contents", "x.content_kind")
+
+
+def blank_pages(units: DataFrame) -> DataFrame:
+    """``(document_id, first_page, last_page, pages, blank)``: how many pages between a document's first and last have no unit."""
+    out = units.groupBy("document_id").agg(F.min("page_no").alias("first_page"), F.max("page_no").alias("last_page"), F.count_distinct("page_no").alias("pages"))
+    return out.withColumn("blank", F.col("last_page") - F.col("first_page") + 1 - F.col("pages"))

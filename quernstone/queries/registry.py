@@ -1,8 +1,8 @@
 """All queries of the core."""
 
-from quernstone.queries import catalogue, evaluation, ingest, lifecycle, policies, search, texts
+from quernstone.queries import assembly, catalogue, evaluation, ingest, lifecycle, policies, search, texts
 
-MODULES = (search, catalogue, evaluation, texts, lifecycle, policies, ingest)
+MODULES = (search, catalogue, evaluation, texts, lifecycle, policies, ingest, assembly)
 
 
 def queries() -> dict:

@@ -1,6 +1,7 @@
 """Files as tables: source folders, JSON lines, vector matrices, review records."""
 
 import io
+import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -22,8 +23,11 @@ def document_id(path: Column, digest: Column) -> Column:
 def scan_sources(spark: SparkSession, root: str, project: str, digests: bool = True) -> DataFrame:
     """``(source_id, source_relative_path, extension, size_bytes, modified_at, sha256)`` of the kept files under a folder.
 
-    The listing is Spark's own binary-file scan; without digests no file content is read.
+    The listing is Spark's own binary-file scan; without digests no file content is read.  A folder that
+    is not there has no files.
     """
+    if directory_statistics(spark, root)[0] == 0:
+        return spark.createDataFrame([], "source_id string, source_relative_path string, extension string, size_bytes long, modified_at timestamp, sha256 string")
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
     base = F.regexp_replace("path", r"^.*?" + _quoted(root.rstrip("/").removeprefix("file:")) + "/", "")
     rows = files.withColumn("source_relative_path", base).withColumn("extension", F.lower(F.regexp_extract("path", r"\.([A-Za-z0-9]+)$", 1)))
@@ -48,7 +52,29 @@ def read_json_lines(spark: SparkSession, path: str, schema: StructType | str) ->
 
 
 def write_json_lines(rows: DataFrame, path: str) -> None:
-    rows.write.mode("errorifexists").json(path)
+    """Writes beside the target and renames, so that the target is whole or not there; a target that exists is an error."""
+    fs, at = _file_system(rows.sparkSession, path)
+    if fs.exists(at(path)):
+        raise FileExistsError(path)
+    staging = f"{path.rstrip('/')}.staging-{uuid.uuid4().hex}"
+    rows.write.json(staging)
+    if not fs.rename(at(staging), at(path)):
+        fs.delete(at(staging), True)
+        raise OSError(f"{path} could not be published")
+
+
+def _file_system(spark: SparkSession, path: str):
+    at = spark._jvm.org.apache.hadoop.fs.Path
+    return at(path).getFileSystem(spark._jsc.hadoopConfiguration()), at
+
+
+def directory_statistics(spark: SparkSession, path: str) -> tuple[int, int]:
+    """How many files a folder holds and how many bytes; zeros for one that is not there."""
+    fs, at = _file_system(spark, path)
+    if not fs.exists(at(path)):
+        return 0, 0
+    summary = fs.getContentSummary(at(path))
+    return summary.getFileCount(), summary.getLength()
 
 
 def read_vector_matrices(spark: SparkSession, path: str, dimension: int) -> DataFrame:

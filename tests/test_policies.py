@@ -1,10 +1,13 @@
+import base64
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from quernstone.functions import hooks, metadata
+from quernstone.functions import hooks, metadata, quality
 from quernstone.operators import evaluation, fusion, policies, screening
 from quernstone.plans import builds
+from quernstone.sources import files
 
 
 def rows(spark, schema, *values):
@@ -127,3 +130,39 @@ def test_collapse_contract(spark):
     vectors = rows(spark, "vec_id long, chunk_id string, vector array<float>", (1, "a", [1.0, 0.0]), (2, "c", [0.999, 0.01]), (3, "d", [0.0, 1.0]), (4, "e", [float("nan"), 1.0]), (5, "f", [0.0, 1.0]))
     got = {(r.query_id, r.chunk_id): (r.kept_as, r.reason) for r in fusion.collapse_repetitions(ranked, vectors).collect()}
     assert got == {(1, "a"): (None, None), (1, "b"): ("a", "same_words"), (1, "c"): ("a", "same_meaning"), (1, "d"): (None, None), (1, "e"): (None, None), (1, "f"): ("d", "same_meaning"), (1, "g"): (None, None), (2, "b"): (None, None)}
+
+
+def test_page_units_of_payloads(spark):
+    payload = '{"pages": {"3": [{"contents": " a  b ", "content_kind": "prose"}, {"contents": " "}, {"contents": "c"}], "5": [{"contents": null}], "7": [{"contents": "d", "content_kind": "table"}], "x": [{"contents": "no page"}]}, "page_labels": {"3": "iii"}, "other": 1}'
+    units = screening.page_units(rows(spark, "document_id string, payload string, page int", ("d", payload, 1), ("e", "no json", 1), ("f", None, 1), ("g", "{}", 1)))
+    assert {tuple(r) for r in units.collect()} == {("d", 3, "iii", 0, "a b", "prose"), ("d", 3, "iii", 1, "c", "prose"), ("d", 7, None, 0, "d", "table")}
+    assert [tuple(r) for r in screening.blank_pages(units).collect()] == [("d", 3, 7, 2, 3)]
+
+
+def test_mixed_scripts(spark):
+    cases = {"aб": False, "aбγא": True, "aaaaaaaaaaaaaaaaaaaaaбγא": False, "": False, None: False}
+    got = {r.t: r.m for r in rows(spark, "t string", *[(t,) for t in cases]).select("t", quality.mixed_scripts(F.col("t")).alias("m")).collect()}
+    assert got == cases
+
+
+def test_token_windows(spark, tmp_path):
+    """A vocabulary of single bytes: a sign is a token."""
+    vocabulary = tmp_path / "bytes.tiktoken"
+    vocabulary.write_text("".join(f"{base64.b64encode(bytes([b])).decode()} {b}\n" for b in range(256)))
+    units = rows(spark, "unit_id string, contents string, window int", ("u", "AaBbCcDd", 1), ("blank", "  ", 1), ("null", None, 1), ("one", "x", 1))
+    for overlap in (1, 4):
+        got = {(r.unit_id, r.window): r.contents for r in hooks.token_windows(units, str(vocabulary), 4, overlap).collect()}
+        assert got == {("u", 0): "AaBb", ("u", 1): "bCcD", ("u", 2): "Dd", ("one", 0): "x"}
+    counted = {r.unit_id: r.n for r in units.select("unit_id", hooks.BytePairTokenizer(str(vocabulary)).count(F.col("contents")).alias("n")).collect()}
+    assert counted == {"u": 8, "blank": 2, "null": None, "one": 1}
+    assert units.select(hooks.BytePairTokenizer(None).count(F.col("contents")).alias("n")).first().n is None
+
+
+def test_durable_files(spark, tmp_path):
+    out = str(tmp_path / "out")
+    files.write_json_lines(spark.range(5), out)
+    with pytest.raises(FileExistsError):
+        files.write_json_lines(spark.range(1), out)
+    assert files.read_json_lines(spark, out, "id long").count() == 5 and [p.name for p in tmp_path.iterdir()] == ["out"]
+    n, size = files.directory_statistics(spark, out)
+    assert n >= 2 and size > 0 and files.directory_statistics(spark, str(tmp_path / "none")) == (0, 0) and files.scan_sources(spark, str(tmp_path / "none"), "p").count() == 0
