@@ -247,19 +247,16 @@ def expanded(members: DataFrame, links: DataFrame, expand: int = EXPAND) -> Data
     one text the smallest id stands for all, and the others are linked to it.  So no pair of different
     texts is left out, whatever the size of a class.
     """
-    counted = members.groupBy("class", "text").agg(F.count_distinct("chunk_id").alias("copies"), F.min("chunk_id").alias("first"))
-    sizes = counted.groupBy("class").agg(F.sum("copies").alias("n"))
-    large = sizes.where(F.col("n") > expand).select("class")
-    stand = counted.join(large, "class").select("class", F.col("first").alias("chunk_id"))
-    units = members.join(large, "class", "left_anti").select("class", "chunk_id").union(stand).distinct()
-    crowded = counted.join(large, "class").where("copies > 1").select("class", "text", "first")
-    star = members.join(crowded, ["class", "text"]).where("chunk_id <> first").select(F.col("first").alias("x"), F.col("chunk_id").alias("y"))
-    several = units.groupBy("class").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("class")
-    one = units.join(several, "class", "left_semi")
-    within = one.select("class", F.col("chunk_id").alias("x")).join(one.select("class", F.col("chunk_id").alias("y")), "class").where("x < y").select("x", "y")
+    large = cut(members.groupBy("class").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > expand).select("class"))
+    units, star = members.select("class", "chunk_id"), None
+    if large.limit(1).count():
+        counted = members.join(large, "class").groupBy("class", "text").agg(F.min("chunk_id").alias("first"))
+        units = units.join(large, "class", "left_anti").union(counted.select("class", "first"))
+        star = members.join(counted, ["class", "text"]).select(F.col("first").alias("x"), F.col("chunk_id").alias("y"))
     u_a, u_b = (units.select(F.col("class").alias(s), F.col("chunk_id").alias(c)) for s, c in (("a", "x"), ("b", "y")))
-    across = links.select("a", "b").join(u_a, "a").join(u_b, "b").select("x", "y")
-    pairs = within.union(star).union(across).where("x <> y")
+    pairs = u_a.join(u_b, F.col("a") == F.col("b")).where("x < y").select("x", "y")
+    pairs = pairs.union(links.select("a", "b").join(u_a, "a").join(u_b, "b").select("x", "y"))
+    pairs = (pairs.union(star) if star is not None else pairs).where("x <> y")
     return pairs.select(F.least("x", "y").alias("chunk_id_a"), F.greatest("x", "y").alias("chunk_id_b")).distinct()
 
 
