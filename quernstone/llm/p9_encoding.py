@@ -10,13 +10,14 @@ text alone, it stays as it is.
 import math
 import re
 import unicodedata
-from collections import Counter
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
-from functools import lru_cache
+from functools import lru_cache, reduce
 from itertools import chain as joined
+from random import Random
 
 import pyarrow as pa
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -24,10 +25,13 @@ from quernstone.llm.p5_quality import COMMON_DE, COMMON_EN, COMMON_ES, COMMON_FR
 from quernstone.sources import read_table
 
 LANGUAGES = ("en", "fr", "de", "es")
-#: The dictionaries are trained on about so many texts of each language, drawn by a hash of the text, and so many characters of each.
-FIT_TEXTS = 1200
-FIT_CHARACTERS = 20_000
+#: The size of a dictionary; it has no room for more words than half its bytes, as each takes a sign and a space.
 DICTIONARY_BYTES = 24_000
+DICTIONARY_WORDS = DICTIONARY_BYTES // 2
+#: Words stand in the training text of a dictionary in the proportion of their counts, which are scaled to about so many bytes.
+TRAINING_BYTES = 100 * DICTIONARY_BYTES
+#: The greedy search of lower levels misses words of the dictionary by chance, by more than a sign costs.
+LEVEL = 19
 STEP_BITS = 10.0
 RARE_STEP_BITS = 20.0
 PAIR_BITS = 16.0
@@ -272,6 +276,10 @@ class Models:
         """Whether no reading, loss or swap can explain any of the tokens better than they stand in the text's language."""
         return not any(map(_readings, tokens)) and not any(map(_LEAD.search, tokens)) and self.swap_bound(tokens, code) < SWAP_BITS
 
+    def believed(self, word: str, code: str) -> bool:
+        """Whether no loss or swap explains a word better than it stands, so that it may prove what a word with lost signs was."""
+        return not self.spoilt(word, code)[1] and max(self.swapped(word, code)) < SWAP_BITS
+
     def packed(self, tokens: tuple[str, ...], code: str) -> float:
         """Bits of the tokens compressed with the language's dictionary."""
         if self.compressors is None:
@@ -280,7 +288,7 @@ class Models:
             self.compressors = {"": zstandard.ZstdCompressor(write_content_size=False, write_checksum=False)}
             for of, d in self.dictionaries.items():
                 known = zstandard.ZstdCompressionDict(d)
-                known.precompute_compress(level=9)
+                known.precompute_compress(level=LEVEL)
                 self.compressors[of] = zstandard.ZstdCompressor(dict_data=known, write_content_size=False, write_checksum=False, write_dict_id=False)
         return 8.0 * len(self.compressors.get(code, self.compressors[""]).compress(spelt(" ".join(tokens), self.alphabets.get(code, _PLAIN))))
 
@@ -361,8 +369,8 @@ class Models:
             hit = self.likely[key] = min(of, default=(0.0, "é" if lead == "Ã" else "—"))[1]
         return hit
 
-    def regained(self, token: str, code: str) -> tuple[str, str, int]:
-        """A token with lost signs as it may have been, as far as the language's words prove it, and how many signs were lost.
+    def spoilt(self, token: str, code: str) -> tuple[str, list[str]]:
+        """A token with a replacement sign for each lost sign, and the lead byte left of each, if any.
 
         Lost are replacement signs, and lead bytes at unlikely places whose followers are gone.
         """
@@ -376,7 +384,12 @@ class Models:
             leads.append("" if m.group() == "�" else m.group()[0])
             return "�"
 
-        spoilt = guess = proven = _LEAD.sub(mark, token)
+        return _LEAD.sub(mark, token), leads
+
+    def regained(self, token: str, code: str) -> tuple[str, str, int]:
+        """A token with lost signs as it may have been, as far as the language's words prove it, and how many signs were lost."""
+        spoilt, leads = self.spoilt(token, code)
+        guess = proven = spoilt
         if (m := _SPOILT.search(spoilt)) and (word := self.words.get(code, {}).get(m.group())):
             guess = proven = spoilt[: m.start()] + word + spoilt[m.end() :]
             first = spoilt[: m.start()].count("�")
@@ -460,6 +473,27 @@ def _candidates(tokens: tuple[str, ...], code: str, models: Models) -> dict[str,
     return out
 
 
+def _spoken(text: str) -> Iterator[tuple[str, list[str], tuple[str, ...], str]]:
+    """Each different passage of a text: its line, its words, the words with entities as signs, and the text's language."""
+    seen: set[str] = set()
+    of_text = ""
+    for line, tokens in _passages(text):
+        if line not in seen:
+            seen.add(line)
+            of_text = of_text or language(line) or language(text) or LANGUAGES[0]
+            yield line, tokens, tuple([_entities(t) if "&#" in t else t for t in tokens]), of_text
+
+
+@lru_cache(300_000)
+def _lossy(token: str) -> tuple[str, ...]:
+    """A token as ``_candidates`` may ask for its lost signs: as it stands, or after readings of which the last is cp1252."""
+    out, now = {token}, {token}
+    for _ in range(MOST_STEPS - 1):
+        now |= {_undone(t, i) for t in now if (mask := _readings(t)) for i in range(len(READ_AS)) if mask >> i & 1}
+        out |= {_undone(t, READ_AS.index("cp1252")) for t in now}
+    return tuple(t for t in sorted(out | now) if _LEAD.search(t))
+
+
 def repaired(text: str, models: Models) -> Repair:
     """The repair of a text; a text without affected passages comes back as it is.
 
@@ -469,16 +503,12 @@ def repaired(text: str, models: Models) -> Repair:
         return Repair(text, "", False, False)
     open_lines: dict[str, dict[str, _Reading]] = {}
     entities = {}
-    of_text = ""
-    for line, tokens in _passages(text):
-        if line not in entities:
-            plain = tuple([_entities(t) if "&#" in t else t for t in tokens])
-            entities[line] = list(plain) != tokens
-            of_text = of_text or language(line) or language(text) or LANGUAGES[0]
-            if models.clear(plain, of_text):
-                continue
-            if found := _candidates(plain, language(line) or of_text, models):
-                open_lines[line] = found
+    for line, tokens, plain, of_text in _spoken(text):
+        entities[line] = list(plain) != tokens
+        if models.clear(plain, of_text):
+            continue
+        if found := _candidates(plain, language(line) or of_text, models):
+            open_lines[line] = found
     fixed: dict[str, tuple[str, ...]] = {}
     chains: list[str] = []
     while open_lines:
@@ -514,13 +544,16 @@ def repaired(text: str, models: Models) -> Repair:
     return Repair(new, ";".join(chains), True, "�" not in new and not any(c.endswith(("lost", "utf8<cp1252")) for c in chains))
 
 
-_COUNTS = pa.schema([("h", pa.int64()), ("places", pa.list_(pa.string()))])
+_COUNTS = pa.schema([("h", pa.int64()), ("keys", pa.list_(pa.string()))])
+_ASKED = pa.schema([("code", pa.string()), ("form", pa.string())])
 
 
 @lru_cache(300_000)
-def _countable(token: str) -> tuple[str, ...]:
-    """The signs of a token with their places, none of an unsound token."""
-    return tuple(places(token)) if _sound(token) else ()
+def _countable(token: str) -> tuple[tuple[str, ...], tuple[str, ...]] | None:
+    """The signs of a token with their places, and the token with its words beyond ASCII; none of an unsound token."""
+    if not _sound(token):
+        return None
+    return tuple(["p" + p for p in places(token)]), ("t" + token, *["w" + w for w in _WORD.findall(token) if not w.isascii()])
 
 
 def _sound(token: str) -> bool:
@@ -528,71 +561,115 @@ def _sound(token: str) -> bool:
     return not _readings(token) and "&#" not in token and not any(c == "�" or "\x7f" < c < "\xa0" for c in token)
 
 
-def _place_counts(rows: DataFrame) -> dict[str, int]:
-    """In how many different texts each sign stands at each place of a language, over all texts; keys are language, sign and place.
+def _keys(text: str) -> list[str]:
+    """What a text counts for: signs at their places, tokens and words of its language, the text itself ("#"), and lossy tokens ("l").
 
-    The key "#xx" counts the texts said to be of language xx.  Only what is in ``LEAST_TEXTS`` texts comes to the driver: its
-    size is bounded by the signs in use.
+    Signs are counted of sound tokens, tokens and words of lines that are sound as a whole; lossy tokens are of their line's language.
     """
+    keys: set[str] = set()
+    lossy: set[str] = set()
+    for line, tokens, plain, of_text in _spoken(text):
+        found = list(map(_countable, tokens))
+        whole = None not in found
+        for signs, words in filter(None, found):
+            keys.update(signs)
+            if whole:
+                keys.update(words)
+        if asking := list(joined.from_iterable(map(_lossy, plain))):
+            code = language(line) or of_text
+            lossy.update(f"{code}l{t}" for t in asking)
+    if keys:
+        code = language(text) or LANGUAGES[0]
+        lossy.update(code + k for k in keys)
+        lossy.add(code + "#")
+    return list(lossy)
+
+
+def _marked_rows(documents: DataFrame) -> DataFrame:
+    """The rows whose text has signs beyond ASCII or numeric entities; no other text is counted or repaired."""
+    return documents.where("text IS NOT NULL").where(F.col("text").rlike(_HIGH.pattern))
+
+
+def _text_counts(rows: DataFrame) -> DataFrame:
+    """``(code, kind, what, n)``: in how many different texts of a language each sign at its place, token, word and lossy token stands."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            found = []
-            for said, text in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
-                keys = set()
-                if not text.isascii():
-                    for _, tokens in _passages(text):
-                        keys.update(joined.from_iterable(map(_countable, tokens)))
-                    if keys:
-                        code = language(text) or LANGUAGES[0]
-                        keys = {code + p for p in keys} | {f"#{code}#"}
-                if said in LANGUAGES:
-                    keys.add("#" + said)
-                found.append(list(keys))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(found, pa.list_(pa.string()))], schema=_COUNTS)
-
-    keyed = rows.select(F.xxhash64("text").alias("h"), "said", "text").mapInArrow(run, "h long, places array<string>")
-    once = keyed.groupBy("h").agg(F.first("places").alias("places"))  # copies are one text, merged before the shuffle
-    counted = once.select(F.explode("places").alias("place")).groupBy("place").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= LEAST_TEXTS)
-    return {r[0]: r[1] for r in counted.collect()}
-
-
-def fit(documents: DataFrame, texts: int = FIT_TEXTS) -> Models:
-    """The models: counts of signs over all different texts, and dictionaries of about ``texts`` texts of each language.
-
-    The texts for the dictionaries are drawn by a hash, so the same table gives the same models.
-    """
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(list(map(_keys, b.column(1).to_pylist())), pa.list_(pa.string()))], schema=_COUNTS)
+
+    keyed = rows.select(F.xxhash64("text").alias("h"), "text").mapInArrow(run, "h long, keys array<string>")
+    once = keyed.groupBy("h").agg(F.first("keys").alias("keys"))  # copies are one text, merged before the shuffle
+    counted = once.select(F.explode("keys").alias("key")).groupBy("key").agg(F.count(F.lit(1)).alias("n"))
+    return counted.select(F.substring("key", 1, 2).alias("code"), F.substring("key", 3, 1).alias("kind"), F.expr("substring(key, 4)").alias("what"), "n")
+
+
+def _asked_forms(tokens: DataFrame, models: Models) -> DataFrame:
+    """``(code, form)`` of all words with lost signs that a repair may look up, of the lossy tokens ``(code, what)``."""
+    known = tokens.sparkSession.sparkContext.broadcast(models)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            pairs = zip(b.column("code").to_pylist(), b.column("what").to_pylist(), strict=True)
+            found = {(code, m.group()) for code, t in pairs if (m := _SPOILT.search(known.value.spoilt(t, code)[0]))}
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in zip(*found, strict=True)] or [pa.array([], pa.string())] * 2, schema=_ASKED)
+
+    return tokens.mapInArrow(run, "code string, form string").distinct()
+
+
+def _believed_words(words: DataFrame, models: Models) -> DataFrame:
+    """The rows of ``(code, form, what, n)`` whose word is not itself better explained by a loss or a swap."""
+    known = words.sparkSession.sparkContext.broadcast(models)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            pairs = zip(b.column("what").to_pylist(), b.column("code").to_pylist(), strict=True)
+            yield b.filter(pa.array([known.value.believed(w, code) for w, code in pairs], pa.bool_()))
+
+    return words.mapInArrow(run, words.schema)
+
+
+def trained(counts: list[tuple[str, int]], signs: Alphabet) -> bytes:
+    """A dictionary of the tokens, commonest first, each weighed by its count; the tokens themselves where they are too few."""
     import zstandard
 
-    said = F.lower(F.substring("lang", 1, 2))
-    rows = documents.where("text IS NOT NULL").select(said.alias("said"), "text")
-    counts = _place_counts(rows)
+    share = min(1.0, TRAINING_BYTES / max(1, sum(n * (len(t) + 1) for t, n in counts)))
+    tokens = [t for t, n in counts for _ in range(max(1, round(n * share)))]
+    Random(len(tokens)).shuffle(tokens)  # the order is arbitrary but always the same
+    text = spelt(" ".join(tokens), signs)
+    try:
+        return zstandard.train_dictionary(DICTIONARY_BYTES, [text[i : i + 400] for i in range(0, len(text), 400)]).as_bytes()
+    except zstandard.ZstdError:
+        return spelt(" ".join([t for t, _ in reversed(counts)]), signs)[-DICTIONARY_BYTES:]
+
+
+def fit(documents: DataFrame, all_words: bool = True) -> Models:
+    """The models, all from counts over all different texts, whole, whatever language they are said to be of.
+
+    To the driver come the signs of ``LEAST_TEXTS`` texts and more, bounded by the signs in use; the commonest tokens, as many as
+    a dictionary can hold; and the words: all, or only those that a repair of these texts may look up.
+    """
+    counts = _text_counts(_marked_rows(documents).select("text")).persist(StorageLevel.DISK_ONLY)
+    seen = {(r[0], r[1] + r[2]): r[3] for r in counts.where(F.col("kind").isin("p", "#") & (F.col("n") >= LEAST_TEXTS)).collect()}
     bits: dict[str, dict[str, float]] = {}
     for code in LANGUAGES:
-        least = max(LEAST_TEXTS, LEAST_SHARE * counts.get(f"#{code}#", 0))
-        of = {k[2:]: n for k, n in counts.items() if k.startswith(code) and n >= least}
+        least = max(LEAST_TEXTS, LEAST_SHARE * seen.get((code, "#"), 0))
+        of = {k[1:]: n for (own, k), n in seen.items() if own == code and k != "#" and n >= least}
         total = sum(of.values())
         bits[code] = {p: -math.log2(n / total) for p, n in of.items()}
-    share = F.lit(0)
-    for code in LANGUAGES:
-        share = F.when(F.col("said") == code, F.lit(int(1e6 * min(1.0, texts / max(1, counts.get(f"#{code}", 1)))))).otherwise(share)
-    drawn = rows.where(F.col("said").isin(*LANGUAGES) & (F.pmod(F.xxhash64("text"), F.lit(1_000_000)) < share)).select("said", F.substring("text", 1, FIT_CHARACTERS).alias("text")).distinct().collect()  # bounded by texts
-    dictionaries: dict[str, bytes] = {}
-    words: dict[str, dict[str, str]] = {}
-    for code in LANGUAGES:
-        lines = sorted(line for r in drawn if r[0] == code for line in r[1].split("\n") if len(line) > 20)
-        lines = [line for line in lines if line.isascii() and "&#" not in line or all(_sound(t) for t in line.split(" ") if _marked(t))]
-        signs = alphabet(bits[code])
-        samples = [spelt(line[i : i + 400], signs) for line in lines for i in range(0, len(line), 400)]
-        try:
-            dictionaries[code] = zstandard.train_dictionary(DICTIONARY_BYTES, samples).as_bytes()
-        except zstandard.ZstdError:  # too little text to train on: the text itself serves as dictionary
-            if samples:
-                dictionaries[code] = b"\n".join(samples)[-DICTIONARY_BYTES:]
-        counted = Counter(w for line in lines if not line.isascii() for w in _WORD.findall(line) if not w.isascii())
-        words[code] = {}
-        for w, _ in counted.most_common():
-            words[code].setdefault("".join(c if c.isascii() else "�" for c in w), w)
+    ranked = [counts.where((F.col("kind") == "t") & (F.col("code") == code)).orderBy(F.desc("n"), "what").limit(DICTIONARY_WORDS) for code in LANGUAGES]
+    tokens: dict[str, list[tuple[str, int]]] = {}
+    for r in sorted(reduce(DataFrame.unionAll, ranked).collect(), key=lambda r: (-r.n, r.what)):
+        tokens.setdefault(r.code, []).append((r.what, r.n))
+    dictionaries = {code: trained(of, alphabet(bits[code])) for code, of in tokens.items()}
+    signs = Models({}, bits, {})
+    known = counts.where("kind = 'w'").select("code", F.regexp_replace("what", "[^\\x00-\\x7f]", "�").alias("form"), "what", "n")
+    if not all_words:
+        known = known.join(_asked_forms(counts.where("kind = 'l'").select("code", "what"), signs), ["code", "form"], "left_semi")
+    commonest = F.min(F.struct((-F.col("n")).alias("n"), "what"))["what"].alias("word")
+    words: dict[str, dict[str, str]] = {code: {} for code in LANGUAGES}
+    for r in _believed_words(known, signs).groupBy("code", "form").agg(commonest).collect():
+        words[r.code][r.form] = r.word
+    counts.unpersist()
     return Models(dictionaries, bits, words)
 
 
@@ -604,11 +681,11 @@ def garbled(documents: DataFrame, models: Models | None = None) -> DataFrame:
 
     - Null ids, null texts and empty texts give no rows; repeated rows count once; extra columns are ignored.
     - A passage is a line.  Texts with lost signs are affected but not recovered; a word is restored where the language knows only one for it.
-    - Whole texts are read, and signs are counted over all of them; only the dictionaries are trained on a bounded sample.  The models
-      sent to the tasks are bounded by that sample and the signs in use.
+    - Whole texts are read, and all of them are counted for the models.  The models sent to the tasks are bounded by the signs in use,
+      the size of the dictionaries and the different words that have lost signs in these texts.
     """
-    rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id IS NOT NULL AND text IS NOT NULL").where(F.col("text").rlike(_HIGH.pattern))
-    known = documents.sparkSession.sparkContext.broadcast(models or fit(documents))
+    rows = _marked_rows(documents).select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id IS NOT NULL")
+    known = documents.sparkSession.sparkContext.broadcast(models or fit(documents, all_words=False))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

@@ -173,6 +173,27 @@ def test_encoding_decoys_and_losses(spark):
     assert all(x.chain for x in got.values())  # nothing comes out without a chain that shortens it
 
 
+def test_encoding_counts_whole_texts(spark):
+    r = random.Random(10)
+    de = "der Schüler erhält für die Prüfung einen größeren Überblick und das ist nicht später möglich".split()
+    names = ["Brück" + "".join(chr(97 + int(d)) for d in str(i)) for i in range(1500)]
+    texts = [" ".join(["das ist nicht der", n, *(r.choice(de) for _ in range(12))]) for n in names]
+    texts.append("Das ist die Bahn und der Turm.\n" * 800 + "Der Blütenstaub ist nicht für die Bahn.")  # the word stands after 24,000 characters
+    texts += [f"the map is “archive” and the town {n[5:]} is in it" for n in names[:20]] + ["the âarchiveâ and the map is in the town"]
+    lost = ["der Br�ckbd ist nicht für die Prüfung", "das ist der Bl�tenstaub und nicht der Überblick", "the �archive� and the map is in the town"]
+    rows = [(i, t, [None, "ger", "de"][i % 3]) for i, t in enumerate([*texts, *lost])]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    models = p9.fit(df)
+    known = models.words["de"]
+    assert all(known.get(n.replace("ü", "�")) == n for n in [*names, "Blütenstaub"])  # no text, end of a text or tag leaves a word out
+    assert "�archive�" not in models.words["en"]  # a word that is itself damaged proves nothing
+    assert models == p9.fit(df.select("text"))
+    own, whole = ({(x.doc_id, x.chain, x.recovered, x.text) for x in p9.garbled(*of).collect()} for of in ((df,), (df, models)))
+    assert own == whole  # the words asked for do what all words do
+    got = {d: t for d, _, _, t in own}
+    assert [got[len(texts) + i].split()[k] for i, k in ((0, 1), (1, 3))] == ["Brückbd", "Blütenstaub"] and got[len(texts) + 2] == lost[2]
+
+
 def test_scans_with_few_words_at_hand(spark):
     r = random.Random(11)
     rare = ["lantern", "harbour", "quarry", "meadow", "thistle", "granary", "foundry", "orchard"]
