@@ -4,6 +4,7 @@ import base64
 import math
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 from typing import Protocol
@@ -104,6 +105,18 @@ def token_windows(units: DataFrame, path: str, size: int, overlap: int) -> DataF
     return units.where("contents IS NOT NULL").select("unit_id", "contents").mapInArrow(run, "unit_id string, window int, contents string")
 
 
+class _Cells(dict):
+    """A word's cell, doubled, and 1 more where it counts up."""
+
+    def __init__(self, dimension: int):
+        self.dimension = dimension
+
+    def __missing__(self, word: str) -> int:
+        h = zlib.crc32(word.encode())
+        self[word] = cell = h % self.dimension * 2 + (h >> 16 & 1)
+        return cell
+
+
 class HashingEmbedder:
     """Words hashed into signed cells and scaled to length 1: deterministic, and near for texts that share words."""
 
@@ -111,11 +124,14 @@ class HashingEmbedder:
         self.dimension = dimension
 
     def embed(self, texts: list[str]) -> np.ndarray:
-        out = np.zeros((len(texts), self.dimension))
-        for row, text in zip(out, texts, strict=True):
-            for word in re.findall(r"[^\W_]+", text.lower()):
-                h = zlib.crc32(word.encode())
-                row[h % self.dimension] += 1.0 if h >> 16 & 1 else -1.0
+        cells = _Cells(self.dimension)  # each word is hashed once a call
+        found, ends = array("q"), np.zeros(len(texts), dtype=np.int64)
+        for i, text in enumerate(texts):
+            found.extend(map(cells.__getitem__, re.findall(r"[^\W_]+", text.lower())))
+            ends[i] = len(found)
+        cell = np.array(found)
+        at = np.repeat(np.arange(len(texts)) * self.dimension, np.diff(ends, prepend=0)) + (cell >> 1)
+        out = np.bincount(at, np.where(cell & 1, 1.0, -1.0), len(texts) * self.dimension).reshape(len(texts), self.dimension)
         norms = np.linalg.norm(out, axis=1, keepdims=True)
         return (out / np.where(norms > 0, norms, 1.0)).astype(np.float32)
 
@@ -140,7 +156,7 @@ def embedded(rows: DataFrame, embedder: Embedder, key: str, text: str) -> DataFr
             x = np.asarray(embedder.embed(b.column(1).to_pylist()))
             if x.shape != (b.num_rows, embedder.dimension) or x.dtype != np.float32 or not np.isfinite(x).all():
                 raise ValueError(f"the embedder gave {x.shape} of {x.dtype}, not {b.num_rows} rows of {embedder.dimension} finite float32")
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(list(x), pa.list_(pa.float32()))], schema=schema)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(np.arange(len(x) + 1, dtype=np.int32) * embedder.dimension, x.ravel())], schema=schema)
 
     return rows.where(F.col(text).isNotNull()).select(F.col(key).cast("string" if isinstance(name, T.StringType) else "long").alias(key), text).mapInArrow(run, f"{key} {'string' if isinstance(name, T.StringType) else 'long'}, vector array<float>")
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from quernstone.functions.tokens import gate_tokens, index_tokens
+from quernstone.operators import blocks
 from quernstone.plans.stages import cut
 
 K1 = 1.5
@@ -72,61 +73,85 @@ def bm25(index: Index, queries: DataFrame, broadcast_rows: int = BROADCAST_ROWS)
     return hits.groupBy("query_id", "chunk_id").agg(F.round(F.sum(F.col("weight") * F.col("gain")), 9).alias("score"))
 
 
-#: Queries scored at once against a batch of chunks; bounds the score block a task holds.
-QUERY_SLICE = 512
+#: Chunks scored at once: a query's scores of them stay in a core's cache.
+CHUNKS = 32_768
 
 
 def bm25_top_k(index: Index, queries: DataFrame, k: int, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
     """``(query_id, chunk_id, score, rank)``: the first k of :func:`bm25` for each query, equal scores by chunk_id.
 
     Where the query terms are few enough to broadcast, only their postings are kept, by a join in the
-    JVM that puts numbers for terms; a task then scores its chunks in blocks against slices of the queries
-    and passes on no more than k chunks (and ties) per query and block, so that the matches, which are
-    many more, are never rows.  Otherwise the joined scores are ranked.
+    JVM that puts numbers for terms; a task then sums the scores of its chunks in blocks, query by query,
+    and passes on no more than k chunks a query, packed, so that the matches, which are many more, are
+    never rows.  Otherwise the joined scores are ranked.
     """
     weighted = _weighted(index, queries)
     table = weighted.limit(broadcast_rows + 1).toArrow()
-    if table.num_rows > broadcast_rows:
+    if not 0 < table.num_rows <= broadcast_rows:
         return ranked(bm25(index, queries, -1), k)
+    spark = queries.sparkSession
     ids, at = np.unique(table.column("query_id").to_numpy(), return_inverse=True)
     terms = {t: i for i, t in enumerate(dict.fromkeys(table.column("term").to_pylist()))}
     term_of = np.array([terms[t] for t in table.column("term").to_pylist()], dtype=np.int64)
-    weights = table.column("weight").to_numpy()
-    slices = []
-    for first in range(0, len(ids), QUERY_SLICE):
-        m = np.nonzero((at >= first) & (at < first + QUERY_SLICE))[0]
-        m = m[np.argsort(term_of[m], kind="stable")]
-        pointers = np.concatenate(([0], np.cumsum(np.bincount(term_of[m], minlength=len(terms)))))
-        slices.append((ids[first : first + QUERY_SLICE], pointers, at[m] - first, weights[m]))
-    known = queries.sparkSession.sparkContext.broadcast(slices)
-    numbered = queries.sparkSession.createDataFrame(pa.table({"term": pa.array(list(terms), pa.string()), "number": pa.array(list(terms.values()), pa.int32())}))  # at most broadcast_rows
-    schema = pa.schema([("query_id", pa.int64()), ("chunk_id", pa.string()), ("score", pa.float64())])
-
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        slices = known.value
-        for b in batches:
-            names = b.column(0)
-            lists, gains = b.column(1), b.column(2).flatten().to_numpy(zero_copy_only=False)
-            own = np.repeat(np.arange(len(names)), np.diff(lists.offsets.to_numpy()))
-            term = lists.flatten().to_numpy(zero_copy_only=False)
-            for q_ids, pointers, q_at, q_weight in slices:
-                counts = pointers[term + 1] - pointers[term]
-                total = int(counts.sum())
-                if not total:
-                    continue
-                entry = np.repeat(pointers[term] - np.concatenate(([0], np.cumsum(counts)[:-1])), counts) + np.arange(total)
-                cell = np.repeat(own, counts) * len(q_ids) + q_at[entry]
-                block = np.bincount(cell, np.repeat(gains, counts) * q_weight[entry], len(names) * len(q_ids)).reshape(len(names), len(q_ids)).round(9)
-                keep = block > 0
-                if len(names) > k:
-                    keep &= block >= np.partition(block, len(names) - k, axis=0)[len(names) - k]
-                rows, columns = np.nonzero(keep)
-                yield pa.RecordBatch.from_arrays([pa.array(q_ids[columns], pa.int64()), names.take(pa.array(rows)), pa.array(block[rows, columns])], schema=schema)
-
-    asked = _gains(index).join(F.broadcast(numbered), "term")
+    order = np.lexsort((term_of, at))
+    term_of, weights, starts = term_of[order], table.column("weight").to_numpy()[order], np.concatenate(([0], np.cumsum(np.bincount(at))))
+    numbers_of = spark.createDataFrame(pa.table({"term": pa.array(list(terms), pa.string()), "number": pa.array(list(terms.values()), pa.int32())}))  # at most broadcast_rows
+    asked = _gains(index).join(F.broadcast(numbers_of), "term")
     by_chunk = asked.groupBy("chunk_id").agg(F.collect_list(F.struct("number", "gain")).alias("p"))  # the distinct terms of one chunk
-    found = by_chunk.select("chunk_id", F.col("p.number").alias("terms"), F.col("p.gain").alias("gains")).mapInArrow(score, "query_id long, chunk_id string, score double")
-    return ranked(found, k)
+    rows = blocks.numbered(by_chunk.select("chunk_id", F.col("p.number").alias("terms"), F.col("p.gain").alias("gains")), "chunk_id")
+    parts, per = [], max(1, blocks.HELD_BYTES // (16 * k))
+    for first in range(0, len(ids), per):
+        own = starts[first : first + per + 1]
+        known = spark.sparkContext.broadcast((own - own[0], term_of[own[0] : own[-1]], weights[own[0] : own[-1]], len(terms)))
+        known_ids = spark.sparkContext.broadcast(blocks.in_blocks(pa.array(ids[first : first + per], pa.int64())))
+
+        def score(batches: Iterator[pa.RecordBatch], known=known) -> Iterator[pa.RecordBatch]:
+            best, held = blocks.Best(len(known.value[0]) - 1, k), []
+            for b in batches:
+                held.append(b)
+                if sum(map(len, held)) >= CHUNKS:
+                    _score(pa.Table.from_batches(held), *known.value, best)
+                    held = []
+            if held:
+                _score(pa.Table.from_batches(held), *known.value, best)
+            yield from best.packed(0)
+
+        packed = rows.select("number", "terms", "gains").mapInArrow(score, "block int, scores binary, numbers binary")
+        parts.append(blocks.merged(packed, k, known_ids, "long"))
+    found = parts[0]
+    for p in parts[1:]:
+        found = found.union(p)
+    return ranked(found.join(rows.select("number", "chunk_id"), "number").select("query_id", "chunk_id", "score"), k)
+
+
+def _score(chunks: pa.Table, starts: np.ndarray, terms: np.ndarray, weights: np.ndarray, n_terms: int, best: blocks.Best) -> None:
+    """Adds to ``best`` the chunks ``(number, terms, gains)`` that may be among the best of each query, whose terms are ``terms[starts[q]:starts[q + 1]]``."""
+    numbers = chunks.column(0).to_numpy()
+    if not len(numbers):
+        return
+    lists = pa.concat_arrays(chunks.column(1).chunks)
+    term, gain = lists.flatten().to_numpy(), pa.concat_arrays(chunks.column(2).chunks).flatten().to_numpy()
+    order = np.argsort(term, kind="stable")
+    chunk, gain = np.repeat(np.arange(len(numbers)), lists.value_lengths().to_numpy())[order], gain[order]
+    at = np.concatenate(([0], np.cumsum(np.bincount(term, minlength=n_terms)))).tolist()
+    groups = 4 * best.k
+    depth = -(-len(numbers) // groups)
+    terms, weights, bounds = terms.tolist(), weights.tolist(), starts.tolist()
+    for first in range(0, len(bounds) - 1, blocks.BLOCK):
+        last = min(first + blocks.BLOCK, len(bounds) - 1)
+        least, query, columns, scores = best.least[first:last].tolist(), [], [], []
+        for q in range(first, last):
+            own = [(at[terms[i]], at[terms[i] + 1], weights[i]) for i in range(bounds[q], bounds[q + 1])]
+            sums = np.bincount(np.concatenate([chunk[a:b] for a, b, _ in own]), np.concatenate([gain[a:b] * w for a, b, w in own]), depth * groups)
+            # the groups' k-th best maximum is reached by k chunks
+            bar = max(float(np.partition(sums.reshape(depth, groups).max(axis=0), groups - best.k)[groups - best.k]), least[q - first]) - blocks.SLACK
+            some = np.flatnonzero(sums >= bar) if bar > 0 else np.flatnonzero(sums)
+            query.append(len(some))
+            columns.append(some)
+            scores.append(sums[some])
+        score = np.rint(np.concatenate(scores) * blocks.UNIT).astype(np.int64)
+        kept = score > 0
+        best.add(first, last, np.repeat(np.arange(last - first), query)[kept], score[kept], numbers[np.concatenate(columns)][kept])
 
 
 def ranked(scores: DataFrame, k: int | None = None, score: str = "score", tie: str = "chunk_id", group: str = "query_id", into: str = "rank") -> DataFrame:
@@ -145,6 +170,11 @@ def first_gate(flags: Column, filtered: Column, overlap: Column, words: Column,
     return gate.when(words < minimum_words, "too_short") if minimum_words else gate
 
 
+def window(depth: int, filtered: bool, minimum_candidates: int = 20, maximum_candidates: int = 200) -> int:
+    """How many ranks the walk of :func:`gated` may look at."""
+    return max(4 * depth, minimum_candidates, maximum_candidates if filtered else 0)
+
+
 def gated(ranking: DataFrame, chunks: DataFrame, queries: DataFrame, depth: int, passes: Column | None = None, minimum_candidates: int = 20, maximum_candidates: int = 200, minimum_words: int = 0, exclude_apparatus: bool = False) -> DataFrame:
     """Every candidate the walk down a ranking looks at, with ``gate`` (null if accepted) and ``place`` among the accepted.
 
@@ -152,13 +182,10 @@ def gated(ranking: DataFrame, chunks: DataFrame, queries: DataFrame, depth: int,
     filter (``passes``, over the chunk's columns) is set; the walk ends at the depth-th accepted
     candidate.  Filters apply after ranking, within the window, never before it.
     """
-    ceiling = maximum_candidates
-    window = max(4 * depth, minimum_candidates)
-    window = max(window, ceiling) if passes is not None else window
-    looked = ranking.where(F.col("rank") <= window)
+    looked = ranking.where(F.col("rank") <= window(depth, passes is not None, minimum_candidates, maximum_candidates))
     facts = chunks.select("chunk_id", "source_id", "document_id", F.coalesce("health_flags", F.lit(0)).alias("flags"), gate_tokens(F.col("contents")).alias("tokens"), F.size(F.regexp_extract_all("contents", F.lit(r"\S+"), F.lit(0))).alias("words"), *([passes.alias("passes")] if passes is not None else [F.lit(True).alias("passes")]))
-    # tokens are taken before the join, once a chunk and once a query, not once a candidate
-    joined = looked.join(facts, "chunk_id").join(queries.select("query_id", gate_tokens(F.col("query")).alias("asked")), "query_id")
+    # tokens are taken before the join, once a chunk and once a query, not once a candidate; a candidate's chunk comes last, as its tokens are many and the gate is all that goes on
+    joined = looked.join(queries.select("query_id", gate_tokens(F.col("query")).alias("asked")), "query_id").join(facts, "chunk_id")
     judged = joined.withColumn("gate", first_gate(F.col("flags"), F.col("passes"), F.arrays_overlap("asked", "tokens"), F.col("words"), minimum_words, exclude_apparatus))
     order = W.partitionBy("query_id").orderBy("rank")
     accepted = F.col("gate").isNull()

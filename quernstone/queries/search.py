@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from quernstone.functions import hooks
 from quernstone.functions.tokens import equality_key, gate_tokens, gate_tokens_sql, index_tokens_sql
 from quernstone.operators import dense, fusion, lexical
+from quernstone.plans.stages import cut
 from quernstone.queries import common as c
 from quernstone.sources import read_table
 
@@ -28,8 +29,8 @@ def q_document_frequencies(spark: SparkSession, d: str) -> DataFrame:
     return _index(spark, d).terms.select("term", "df", F.round("idf", 6).alias("idf"))
 
 
-def _ranking(spark: SparkSession, d: str, k: int) -> DataFrame:
-    return lexical.bm25_top_k(_index(spark, d), c.text_queries(spark, d), k)
+def _ranking(spark: SparkSession, d: str, k: int, queries: DataFrame | None = None) -> DataFrame:
+    return lexical.bm25_top_k(_index(spark, d), c.text_queries(spark, d) if queries is None else queries, k)
 
 
 def _facts(spark: SparkSession, d: str) -> DataFrame:
@@ -40,11 +41,11 @@ def q_bm25_topk(spark: SparkSession, d: str) -> DataFrame:
     return _ranking(spark, d, TOP_K).select("query_id", "chunk_id", F.round("score", 6).alias("score"), "rank")
 
 
-def _gated(spark: SparkSession, d: str, passes: Column | None = None) -> DataFrame:
-    facts = _facts(spark, d)
+def _gated(spark: SparkSession, d: str, passes: Column | None = None, queries: DataFrame | None = None) -> DataFrame:
+    facts, queries = _facts(spark, d), c.text_queries(spark, d) if queries is None else queries
     if passes is not None:
         facts = facts.join(c.documents(spark, d, "languages"), "document_id", "left")
-    return lexical.gated(_ranking(spark, d, 200), facts, c.text_queries(spark, d), DEPTH, passes)
+    return lexical.gated(_ranking(spark, d, lexical.window(DEPTH, passes is not None), queries), facts, queries, DEPTH, passes)
 
 
 def q_bm25_gated(spark: SparkSession, d: str) -> DataFrame:
@@ -154,15 +155,18 @@ def q_search_hybrid(spark: SparkSession, d: str) -> DataFrame:
 
 def q_search_hybrid_embedded(spark: SparkSession, d: str) -> DataFrame:
     """Both halves computed: BM25 with its gates, and an exact scan of all chunk vectors for every query, of the stand-in embedder."""
-    embedder, texts = hooks.HashingEmbedder(), c.chunks(spark, d, "contents")
-    vectors = hooks.embedded(texts, embedder, "chunk_id", "contents").withColumn("kind", F.lit("hashing"))
-    queries = hooks.embedded(c.text_queries(spark, d), embedder, "query_id", "query").withColumn("kind", F.lit("hashing"))
-    found = dense.exact_top_k(dense.clean_vectors(vectors), dense.clean_vectors(queries, "query_id"), DEPTH)
+    asked, embedder = c.text_queries(spark, d), hooks.HashingEmbedder()
+    queries = asked.groupBy("query").agg(F.min("query_id").alias("query_id"))  # equal texts are searched once, under the smallest id
+    vectors = cut(hooks.embedded(c.chunks(spark, d, "contents"), embedder, "chunk_id", "contents").withColumn("kind", F.lit("hashing")))
+    query_vectors = cut(hooks.embedded(queries, embedder, "query_id", "query").withColumn("kind", F.lit("hashing")))
+    found = dense.exact_top_k(dense.clean_vectors(vectors), dense.clean_vectors(query_vectors, "query_id"), DEPTH)
     admitted = dense.relative_gate(found, EMBEDDED_FLOOR, MARGIN).where("admitted").select("query_id", "chunk_id", "rank")
-    accepted = _gated(spark, d).where("gate IS NULL").select("query_id", "chunk_id", F.col("place").alias("rank"))
+    accepted = _gated(spark, d, queries=queries).where("gate IS NULL").select("query_id", "chunk_id", F.col("place").alias("rank"))
     fused = fusion.reciprocal_rank_fusion(accepted, admitted)
     top = fusion.source_diverse(fused.join(c.chunks(spark, d, "source_id"), "chunk_id"), TOP_K)
-    return top.select("query_id", "selected_rank", "chunk_id", "source_id", "match_kind", F.round("fusion_score", 6).alias("fusion_score"))
+    each = asked.distinct().join(queries.select("query", F.col("query_id").alias("first_id")), "query").select("query_id", "first_id")
+    answers = top.withColumnRenamed("query_id", "first_id").join(each, "first_id")
+    return answers.select("query_id", "selected_rank", "chunk_id", "source_id", "match_kind", F.round("fusion_score", 6).alias("fusion_score"))
 
 
 def citation() -> Column:
